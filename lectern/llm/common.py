@@ -102,7 +102,7 @@ def rolling(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * _cache["p"][: len(words)], dtype=np.uint64, out=sums[1:])
         total = (sums[width:] - sums[:-width]) * _cache["q"][:n]
-    return mix(total + U64(width + 1000 * salt) * _ODD)
+    return mix(total + U64((width + 1000 * salt) * int(_ODD) % (1 << 64)))
 
 
 def parts_for(df: DataFrame, per_input: int = 4, least: int = 16, most: int = 1 << 16) -> int:
@@ -132,3 +132,92 @@ def in_bitmap(bitmap_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     at = np.where(cell == 0, len(bitmap_) - 4096, (cell - 1) >> 3)
     bit = np.where(cell == 0, 0, (cell - 1) & 7)
     return (bitmap_[at] >> bit.astype(np.uint8)) & 1 > 0
+
+
+#: Hashes that a task gathers before it sends them off, sorted and with repeats counted.
+FLUSH = 2_000_000
+
+
+class Dealer:
+    """Deals hashes out by their leading bits, ``flags`` telling two kinds of them apart.
+
+    Repeats within a task's gathering are summed first, so that a hash that is everywhere comes at most
+    once from each: no part grows with the frequency of one hash. A row is (part, once0, once1, more0,
+    more1, counts0, counts1): sorted hashes of the two kinds met once, more often, and how often."""
+
+    SCHEMA = "part int, once0 binary, once1 binary, more0 binary, more1 binary, counts0 binary, counts1 binary"
+    FIELDS = pa.schema([("part", pa.int32()), *((f"{k}{j}", pa.binary()) for k in ("once", "more", "counts") for j in (0, 1))])
+
+    def __init__(self, parts: int) -> None:
+        self.shift, self.held, self.n = U64(64 - (parts.bit_length() - 1)), ([], []), 0
+
+    def add(self, hashes: np.ndarray, kind: int = 0) -> bool:
+        self.held[kind].append(hashes)
+        self.n += len(hashes)
+        return self.n >= FLUSH
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        cut: dict[int, dict[str, bytes]] = {}
+        for kind in (0, 1):
+            if not self.held[kind]:
+                continue
+            all_ = np.sort(np.concatenate(self.held[kind]))
+            self.held[kind].clear()
+            first = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]])) if len(all_) else np.zeros(0, np.int64)
+            times, hashes = np.diff(np.append(first, len(all_))), all_[first]
+            for name, some in (("once", times == 1), ("more", times > 1)):
+                h, t = hashes[some], np.minimum(times[some], (1 << 32) - 1).astype("<u4")
+                part = (h >> self.shift).astype(np.int64)
+                edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    row = cut.setdefault(int(part[a]), {})
+                    row[f"{name}{kind}"] = h[a:b].tobytes()
+                    if name == "more":
+                        row[f"counts{kind}"] = t[a:b].tobytes()
+        self.n = 0
+        names = self.FIELDS.names[1:]
+        parts = list(cut)
+        for k in range(0, len(parts), 1024):
+            some = parts[k : k + 1024]
+            yield table({"part": some} | {n: [cut[p].get(n, b"") for p in some] for n in names}, self.FIELDS)
+
+
+def gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a part's rows: the distinct hashes, how often each came, and whether one was of kind 1."""
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+    once, more = [joined(f"once{k}", "<u8") for k in (0, 1)], [joined(f"more{k}", "<u8") for k in (0, 1)]
+    all_ = np.sort(np.concatenate([*once, *more]))
+    first = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]])) if len(all_) else np.zeros(0, np.int64)
+    hashes, times = all_[first], np.diff(np.append(first, len(all_))).astype(np.int64)
+    marked = np.zeros(len(hashes), bool)
+    for k in (0, 1):
+        np.add.at(times, np.searchsorted(hashes, more[k]), joined(f"counts{k}", "<u4").astype(np.int64) - 1)
+    for h in (once[1], more[1]):
+        marked[np.searchsorted(hashes, h)] = True
+    return hashes, times, marked
+
+
+def slice_of(hashes: np.ndarray, part: int, parts: int, bits: int) -> bytes:
+    """A part's share of the bitmap of 2**bits bits that the leading bits of a hash point into."""
+    width = 1 << (bits - (parts.bit_length() - 1))
+    at = (hashes >> U64(64 - bits)).astype(np.int64) - part * width
+    flags = np.zeros(width, np.uint8)
+    flags[at] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def whole(slices: dict[int, bytes], parts: int, bits: int) -> np.ndarray:
+    width = 1 << (bits - 3 - (parts.bit_length() - 1))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for part, x in slices.items():
+        out[part * width : (part + 1) * width] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def leading(bits_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes point at a set bit."""
+    at = (hashes >> U64(64 - bits)).astype(np.int64)
+    return (bits_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
