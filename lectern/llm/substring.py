@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Dealer, gathered, leading, map_arrow, materialise, parts_for, rolling, slice_of, table, texts, whole, word_hashes
+from lectern.llm.common import Dealer, gather, gathered, leading, map_arrow, materialise, parts_for, rolling, slice_of, table, texts, whole, word_hashes
 
 WINDOW, BLOCK = 35, 18
 BITS = 26
@@ -62,7 +62,7 @@ def anchors(docs: DataFrame, window: int, block: int, bits: int) -> np.ndarray:
         hashes, times, indexed = gathered(group)
         return pa.table({"part": pa.array([part], pa.int32()), "hits": pa.array([slice_of(hashes[indexed & (times > 1)], part, parts, bits)], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(match, "part int, hits binary").collect()
+    rows = gather(docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(match, "part int, hits binary"))
     return whole({r["part"]: bytes(r["hits"]) for r in rows}, parts, bits)
 
 
@@ -98,7 +98,7 @@ def repeats(docs: DataFrame, hits: np.ndarray, window: int, block: int, bits: in
         return pa.table({"part": pa.array([part], pa.int32()), "again": pa.array([slice_of(again, part, parts, bits)], pa.binary()), "hashes": pa.array([again.view(np.int64)], pa.list_(pa.int64()))})
 
     found = materialise(docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(count, "part int, again binary, hashes array<long>"), "repeats")
-    bitmap = whole({r["part"]: bytes(r["again"]) for r in found.select("part", "again").collect()}, parts, bits)
+    bitmap = whole({r["part"]: bytes(r["again"]) for r in gather(found.select("part", "again"))}, parts, bits)
     return found.select(F.explode("hashes").alias("h")), bitmap
 
 
