@@ -15,9 +15,9 @@ is one shingle). Documents link when 100 * intersection >= 75 * union.
    per pair, and the sum is held against the threshold: exact.
 4. Groups of near copies. Not all pairs of a group are formed. A first round pairs the holders of an
    n-gram with one hub of theirs, which is linear in the holders; the links found make components. Later
-   rounds take other hubs, only where an n-gram's holders still are of different components. When what is
-   left is in proportion to the rows, all remaining pairs of different components (and only these) are
-   counted, so that the components are exact whatever the hubs were.
+   rounds take other hubs, only where an n-gram's holders still are of different components. When that
+   gains nothing more, all remaining pairs of different components that can still link by their places in
+   the global order (and only these) are counted, so that the components are exact whatever the hubs were.
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are their own component.
 Every row gives a row; rows with equal ids are separate documents (component ids are the smallest id of a
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, Dealer, bitmap, gathered, in_bitmap, leading, materialise, mix, parts_for, rolling, slice_of, table, texts, whole, word_hashes
+from lectern.llm.common import U64, Dealer, bitmap, gather, gathered, in_bitmap, leading, materialise, mix, parts_for, rolling, slice_of, table, texts, whole, word_hashes
 from lectern.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -42,8 +42,9 @@ FRAGMENTS = 4
 #: Frequency classes: an n-gram with at least so many holders is of the class; and the bits of its bitmap.
 CLASSES = ((2, 26), (8, 24), (64, 24), (1024, 24))
 ACTIVE_BITS = 24
-#: Hub rounds go on while the remaining pairs are over so many times the rows.
-RESIDUE, ROUNDS = 4, 8
+#: Hub rounds go on while pairs that share an n-gram and are of different components are over RESIDUE times the
+#: rows, and still fall to SHRINK of what they were (those that are just not alike never go).
+RESIDUE, SHRINK, ROUNDS = 2, 0.6, 8
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -84,11 +85,11 @@ def frequency_bitmaps(docs: DataFrame, width: int) -> list[np.ndarray]:
         out = {n: [slice_of(hashes[times >= least], part, parts, bits)] for n, (least, bits) in zip(names, CLASSES, strict=True)}
         return pa.Table.from_batches([table({"part": [part]} | out, fields)])
 
-    rows = docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(count, "part int, " + ", ".join(f"{n} binary" for n in names)).collect()
+    rows = gather(docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(count, "part int, " + ", ".join(f"{n} binary" for n in names)))
     return [whole({r["part"]: bytes(r[n]) for r in rows}, parts, bits) for n, (_, bits) in zip(names, CLASSES, strict=True)]
 
 
-_PREFIX = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("alone", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, bitmaps: list[np.ndarray]) -> DataFrame:
@@ -97,11 +98,12 @@ def prefixes(docs: DataFrame, width: int, percent: int, bitmaps: list[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, prefix = [], [], []
+            n, cls, alone, prefix = [], [], [], []
             for text in texts(batch.column(2)):
                 tokens = shingles(text, width)
                 n.append(len(tokens))
                 if not len(tokens):
+                    alone.append(0)
                     cls.append(None)
                     prefix.append([])
                     continue
@@ -109,13 +111,14 @@ def prefixes(docs: DataFrame, width: int, percent: int, bitmaps: list[np.ndarray
                 kind = np.zeros(len(tokens), np.int64)
                 for k, (_, bits) in enumerate(CLASSES):
                     kind[leading(shared.value[k], tokens, bits)] = k + 1
-                room = len(tokens) - needed(len(tokens), percent) + 1 - int((kind == 0).sum())
+                alone.append(int((kind == 0).sum()))
+                room = len(tokens) - needed(len(tokens), percent) + 1 - alone[-1]
                 live = np.flatnonzero(kind)
                 live = live[np.argsort(kind[live], kind="stable")]  # tokens are in order of their hash
                 prefix.append(tokens[live[: max(room, 0)]].view(np.int64))
-            yield table({"doc_id": batch.column(0), "row_key": batch.column(1), "n": n, "cls": cls, "prefix": prefix}, _PREFIX)
+            yield table({"doc_id": batch.column(0), "row_key": batch.column(1), "n": n, "cls": cls, "alone": alone, "prefix": prefix}, _PREFIX)
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n int, cls long, prefix array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n int, cls long, alone int, prefix array<long>")
 
 
 _SEGMENT = pa.schema([("cls", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
@@ -159,9 +162,13 @@ def counted(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of holders of one n-gram that are of different components and of fitting sizes."""
-    r = right.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    fit = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    """Distinct pairs of holders of one n-gram that are of different components and may link.
+
+    ``rest`` is how many of a holder's n-grams come at or after this one in the global order. At the first
+    n-gram that two documents share, their overlap is at most the smaller rest. A pair that links passes
+    this test there, so that failing it elsewhere loses nothing."""
+    r = right.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("label").alias("label2"))
+    fit = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * F.least("rest", "rest2") >= percent * (F.col("n") + F.col("n2")))
     swap = F.col("cls") > F.col("cls2")
     ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("cls", "cls2", "a"), ("cls2", "cls", "b"), ("n", "n2", "na"), ("n2", "n", "nb"))]
     return left.join(r, "token").filter((F.col("label") != F.col("label2")) & fit).select(*ends).distinct()
@@ -169,7 +176,8 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 
 def link_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame | None:
     """cls, label: components of the classes of equal sets, for the classes that have links."""
-    held = rows.select(F.explode("prefix").alias("token"), "cls", "n").groupBy("token", "cls").agg(F.max("n").alias("n"))
+    held = rows.select(F.posexplode("prefix").alias("at", "token"), "cls", "n", "alone")
+    held = held.groupBy("token", "cls").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
     held = materialise(held, "holders")
     several = held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
     held = materialise(held.join(several, "token"), "shared")
@@ -177,23 +185,25 @@ def link_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) ->
     if not active.any():
         return None
     segs = materialise(segments(docs, width, active), "segments")
-    links, labels = None, None
+    total = held.count()
+    links, labels, before = None, None, float("inf")
     for round_ in range(ROUNDS + 1):
         now = held.withColumn("label", F.col("cls")) if labels is None else held.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         if labels is not None:
             now = materialise(now, f"labelled{round_}")
         per = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         per = per.groupBy("token").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max_by("label", "m").alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        left, k = per.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.sum("k")).first()
+        left = per.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0]
         if not left:
             break
-        last = left <= RESIDUE * k or round_ == ROUNDS
+        last = left <= RESIDUE * total or left > SHRINK * before or round_ == ROUNDS
+        before = left
         mixed = now.join(per.select("token", "most"), "token")
         if last:
             pairs = _pairs(mixed.filter("label != most"), now, percent)
         else:
             order = F.col("cls") if round_ == 0 else F.xxhash64("cls", "token", F.lit(round_))
-            hub = mixed.groupBy("token").agg(F.min_by(F.struct("cls", "n", "label"), order).alias("hub")).select("token", "hub.*")
+            hub = mixed.groupBy("token").agg(F.min_by(F.struct("cls", "n", "rest", "label"), order).alias("hub")).select("token", "hub.*")
             pairs = _pairs(mixed, hub, percent)
         found = materialise(counted(pairs, segs, percent), f"links{round_}")
         links = found if links is None else links.unionByName(found)
