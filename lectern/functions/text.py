@@ -9,16 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: classes, maps and lists that results depend on -------------------------------------
-SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_RE2 = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LINE_END_RE2 = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 CJK = r"一-鿿·"
 TONE_FROM, TONE_TO = "QWASTYGHERDFUIJKOPLMNBVC", "āáǎàōóǒòēéěèīíǐìūúǔùǖǘǚǜ"
 OTHER_CAPITALS, OTHER_SMALL = "XZÜ", "xzü"
 QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("「", "」"), ("『", "』"))
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
-ZERO_WIDTH = "​‌‍⁠﻿"
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u200e\u200f"
+ZERO_WIDTH_LEADING = "\u200b\u200c\u200d\ufeff\u2060\u2061\u2062\u2063"
 DIGITS = r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
 # -------------------------------------------------------------------------------------------------------
 
@@ -120,11 +121,11 @@ def display_width(s: Column, tab: int = 4) -> Column:
 
 
 def leading_blank(s: Column) -> Column:
-    return F.regexp_extract(s, f"^[{SPACE}{ZERO_WIDTH}]*", 0)
+    return F.regexp_extract(s, f"^[{SPACE}{ZERO_WIDTH_LEADING}]*", 0)
 
 
 def leading_width(s: Column, tab: int = 4) -> Column:
-    return display_width(F.translate(leading_blank(s), ZERO_WIDTH, ""), tab)
+    return display_width(F.translate(leading_blank(s), ZERO_WIDTH_LEADING, ""), tab)
 
 
 def preview(s: Column, most: int = 200) -> Column:

@@ -100,7 +100,7 @@ def propose_spans(lines: DataFrame, entries: DataFrame, bounds: DataFrame, part:
         out = F.when(off | skip, a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(m.alias("m"), x["n"].alias("n")))))
         return F.struct(m.alias("m"), a["n"].alias("n"), off.alias("off"), out.alias("out"))
 
-    windows = body.select(*part, "line_no", "stop", F.explode(F.aggregate(F.filter(three, lambda x: x.isNotNull()), state, join_line)["out"]).alias("o")).select(*part, "line_no", "stop", "o.m", "o.n")
+    windows = body.withColumn("three", three).select(*part, "line_no", "stop", F.explode(F.aggregate(F.filter("three", lambda x: x.isNotNull()), state, join_line)["out"]).alias("o")).select(*part, "line_no", "stop", "o.m", "o.n")
     cut = F.sequence(F.lit(0), F.least(F.lit(WINDOW_SLACK), F.length("m") - 1))
     ends = windows.select(*part, "line_no", "n", "m", F.explode(cut).alias("k")).select(*part, "line_no", "n", F.substring(F.col("m"), F.col("k") + 1, F.length("m")).alias("key"))
     together = ends.join(keys, [*part, "key"]).groupBy(*part, "ord").agg(F.array_sort(F.collect_set(F.struct(F.col("line_no").alias("s"), F.col("n").alias("h")))).alias("together"))
