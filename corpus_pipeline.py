@@ -1,12 +1,15 @@
 """A corpus pipeline of five stages over ``documents``: quality, language, near duplicates, repeats, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. A stage learns from the rows it is given.
+``documents``. A stage learns from the rows it is given. Rows with a null or blank text go in the first stage;
+null and repeated ids, nulls elsewhere and extra columns, whatever their names, are kept as they are; an empty
+table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +22,33 @@ from lectern.llm.common import map_arrow, materialise
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with the extra columns of ``docs`` under names that clash with none of its own, and back."""
+
+    @wraps(stage)
+    def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        held = docs.toDF(*(c if c in OWN else f"extra_column_{k}" for k, c in enumerate(names)))
+        return stage(spark, held, sf_dir).toDF(*names)
+
+    return apart
+
+
 def _key() -> list:
     return [F.col("doc_id").cast("long"), F.xxhash64("text")]
 
 
+@_apart
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return quality.judge(docs, *quality.fit(rows), keep=docs.columns).filter("keep").select(*docs.columns)
 
 
+@_apart
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, and near enough to a language that was learned; none go where none was."""
     profiles = language.learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~language.held_out()))
@@ -38,6 +58,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+@_apart
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join: the one with the smallest id.
 
@@ -53,6 +74,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*docs.columns)
 
 
+@_apart
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that repeated windows cover; n_chars is set anew. Documents left empty go.
 
