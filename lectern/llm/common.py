@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
-_RELEASE = "spark.sql.shuffleDependency.fileCleanup.enabled"
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager

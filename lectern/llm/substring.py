@@ -150,7 +150,7 @@ def with_repeats(docs: DataFrame, window: int = WINDOW, bits: int = BITS) -> Dat
     hits = anchors(keyed, window, block, bits)
     found, again = repeats(keyed, hits, window, block, bits)
     exact = places(keyed, hits, again, window, block, bits).join(found, "h")
-    starts = exact.groupBy("k1", "k2").agg(F.collect_set("at").alias("starts"))
+    starts = materialise(exact.groupBy("k1", "k2").agg(F.collect_set("at").alias("starts")), "starts")
     return keyed.join(starts, ["k1", "k2"], "left").drop("k1", "k2")
 
 
