@@ -54,8 +54,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a worker turns into Python objects at once.
+AT_ONCE = 512
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that what is made of them stays small."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
 
 
 def table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

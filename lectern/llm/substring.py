@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Dealer, gather, gathered, leading, map_arrow, materialise, parts_for, rolling, slice_of, table, texts, whole, word_hashes
+from lectern.llm.common import Dealer, gather, gathered, leading, map_arrow, materialise, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
 
 WINDOW, BLOCK = 35, 18
 BITS = 26
@@ -44,7 +44,7 @@ def anchors(docs: DataFrame, window: int, block: int, bits: int) -> np.ndarray:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(parts)
-        for batch in batches:
+        for batch in pieces(batches):
             for text in texts(batch.column(0)):
                 words, _ = word_hashes(text)
                 if len(words) < window:
@@ -83,7 +83,7 @@ def repeats(docs: DataFrame, hits: np.ndarray, window: int, block: int, bits: in
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(parts)
-        for batch in batches:
+        for batch in pieces(batches):
             for text in texts(batch.column(0)):
                 words, _ = word_hashes(text)
                 at = near_hits(words, shared.value, bits, window, block)
@@ -111,7 +111,7 @@ def places(docs: DataFrame, hits: np.ndarray, again: np.ndarray, window: int, bl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()  # equal texts have equal places; emptied when large
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for key, text in zip(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), texts(batch.column(0)), strict=True):
                 if key in done:
