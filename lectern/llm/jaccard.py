@@ -15,8 +15,8 @@ is one shingle). Documents link when 100 * intersection >= 75 * union.
    per pair, and the sum is held against the threshold: exact.
 4. Groups of near copies. Not all pairs of a group are formed. A first round pairs the holders of an
    n-gram with one hub of theirs, which is linear in the holders; the links found make components. Later
-   rounds take other hubs, only where an n-gram's holders still are of different components. When that
-   gains nothing more, all remaining pairs of different components that can still link by their places in
+   rounds take other hubs, twice as many each time (64 at most), only where an n-gram's holders still are of
+   different components. When that gains little more, all remaining pairs of different components that can still link by their places in
    the global order (and only these) are counted, so that the components are exact whatever the hubs were.
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are their own component.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, Dealer, bitmap, gather, gathered, in_bitmap, leading, materialise, mix, parts_for, rolling, slice_of, table, texts, whole, word_hashes
+from lectern.llm.common import U64, Dealer, bitmap, gather, gathered, in_bitmap, leading, materialise, mix, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
 from lectern.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -43,8 +43,8 @@ FRAGMENTS = 4
 CLASSES = ((2, 26), (8, 24), (64, 24), (1024, 24))
 ACTIVE_BITS = 24
 #: Hub rounds go on while pairs that share an n-gram and are of different components are over RESIDUE times the
-#: rows, and still fall to SHRINK of what they were (those that are just not alike never go).
-RESIDUE, SHRINK, ROUNDS = 2, 0.6, 8
+#: holders, and at least GAIN of the pairs of the round before did link (those that are just not alike never do).
+RESIDUE, GAIN, ROUNDS = 0.05, 0.1, 6
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -70,7 +70,7 @@ def frequency_bitmaps(docs: DataFrame, width: int) -> list[np.ndarray]:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(parts)
-        for batch in batches:
+        for batch in pieces(batches):
             for text in texts(batch.column(0)):
                 if dealer.add(shingles(text, width)):
                     yield from dealer.rows()
@@ -97,7 +97,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, bitmaps: list[np.ndarray
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, cls, alone, prefix = [], [], [], []
             for text in texts(batch.column(2)):
                 tokens = shingles(text, width)
@@ -130,7 +130,7 @@ def segments(docs: DataFrame, width: int, active: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # one of equal sets is enough; emptied when large
-        for batch in batches:
+        for batch in pieces(batches):
             cls, fragment, cut = [], [], []
             for text in texts(batch.column(0)):
                 tokens = shingles(text, width)
@@ -186,7 +186,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) ->
         return None
     segs = materialise(segments(docs, width, active), "segments")
     total = held.count()
-    links, labels, before = None, None, float("inf")
+    links, labels, gain = None, None, 1.0
     for round_ in range(ROUNDS + 1):
         now = held.withColumn("label", F.col("cls")) if labels is None else held.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         if labels is not None:
@@ -196,16 +196,18 @@ def link_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) ->
         left = per.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0]
         if not left:
             break
-        last = left <= RESIDUE * total or left > SHRINK * before or round_ == ROUNDS
-        before = left
+        last = left <= RESIDUE * total or gain < GAIN or round_ == ROUNDS
         mixed = now.join(per.select("token", "most"), "token")
         if last:
             pairs = _pairs(mixed.filter("label != most"), now, percent)
         else:
             order = F.col("cls") if round_ == 0 else F.xxhash64("cls", "token", F.lit(round_))
-            hub = mixed.groupBy("token").agg(F.min_by(F.struct("cls", "n", "rest", "label"), order).alias("hub")).select("token", "hub.*")
+            slot = F.pmod(order, F.lit(1 << round_)).alias("slot")  # twice the hubs in each round
+            hub = mixed.groupBy("token", slot).agg(F.min_by(F.struct("cls", "n", "rest", "label"), order).alias("hub")).select("token", "hub.*")
             pairs = _pairs(mixed, hub, percent)
+        pairs = materialise(pairs, f"pairs{round_}")
         found = materialise(counted(pairs, segs, percent), f"links{round_}")
+        gain = found.count() / max(1, pairs.count())
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if last:
