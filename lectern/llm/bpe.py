@@ -21,6 +21,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import table
 
 LONG = 256
-#: Entries of a worker's cache of words, and twice those of its cache of segments; each is emptied beyond that.
+#: Entries of a worker's cache of words, and of its cache of segments; each is emptied beyond that.
 CACHE = 500_000
 #: Documents that a worker cuts and encodes together.
 TOGETHER = 2048
@@ -63,7 +64,12 @@ WITH RECURSIVE steps(w, step, ids) AS (
 SELECT w, arg_max(ids, step) AS ids FROM steps GROUP BY w
 """
 
-_DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY pos) AS hex FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM encoded) e JOIN vocabulary v USING (id) GROUP BY w"
+_DECODE = """
+SELECT w, array_to_string(ids, ',') AS csv, back FROM encoded JOIN (
+  SELECT w, unhex(string_agg(v.hex, '' ORDER BY pos)) AS back
+  FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM encoded) e JOIN vocabulary v USING (id) GROUP BY w
+) USING (w) ORDER BY w
+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,7 +85,7 @@ class Coder:
         import duckdb
         import regex
 
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         #: A lone space between two characters that are no space starts a new segment; no word goes across.
         self.unusual = regex.compile(r"\s |\s\s|^ | \s| $").search
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -89,76 +95,60 @@ class Coder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         named = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM named")
-        self.words: dict[str, tuple[list[int], bytes]] = {}
-        self.segments: dict[str, tuple[int, bytes, bytes]] = {}
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, by the recursive query."""
-        out: list[list[int]] = [[] for _ in words]
-        for query, some in ((_STEP, [k for k, w in enumerate(words) if 0 < len(w) <= LONG]), (_STEP_LONG, [k for k, w in enumerate(words) if len(w) > LONG])):
-            for at in range(0, len(some), 65_536):
-                part = some[at : at + 65_536]
-                single = [self.ranks[bytes([b])] for b in range(256)]
-                words_ = pa.table({"w": pa.array(part, pa.int32()), "ids": pa.array([[single[b] for b in words[k]] for k in part], pa.list_(pa.int32()))})
-                self.db.register("words", words_)
-                found = self.db.execute(query).fetchall()
-                self.db.unregister("words")
-                for k, ids in found:
-                    out[k] = ids
-        return out
-
-    def decode_words(self, encoded: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids, by ordered aggregation."""
-        rows = pa.table({"w": pa.array(range(len(encoded)), pa.int32()), "ids": pa.array(encoded, pa.list_(pa.int32()))})
-        self.db.register("encoded", rows)
-        found = self.db.execute(_DECODE).fetchall()
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.back: dict[str, bytes] = {}
+
+    def solved(self, query: str, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Of each word: its ids, found by the recursive query, as decimals; and the bytes they decode to."""
+        offsets = np.zeros(len(words) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), out=offsets[1:])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.single[np.frombuffer(b"".join(words), np.uint8)]))
+        self.db.register("words", pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "ids": ids}))
+        self.db.register("encoded", self.db.sql(query).to_arrow_table())
+        found = self.db.sql(_DECODE).to_arrow_table()
+        self.db.unregister("words")
         self.db.unregister("encoded")
-        out = [b""] * len(encoded)
-        for w, hex_ in found:
-            out[w] = bytes.fromhex(hex_)
-        return out
+        return list(zip(found.column("csv").cast(pa.binary()).to_pylist(), found.column("back").to_pylist(), strict=True))
 
-    def learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.words))
-        if not new:
-            return
+    def learn(self, words: set[str]) -> None:
+        """Put words that have not been met yet into the cache."""
+        new = words.difference(self.words)
         if len(self.words) + len(new) > CACHE:
-            self.words = {}
-            new = list(set(words))
-        ids = self.encode_words([w.encode() for w in new])
-        for w, i, b in zip(new, ids, self.decode_words(ids), strict=True):
-            self.words[w] = (i, b)
+            self.words, new = {}, words
+        coded = [(w, w.encode()) for w in new]
+        for query, some in ((_STEP, [x for x in coded if len(x[1]) <= LONG]), (_STEP_LONG, [x for x in coded if len(x[1]) > LONG])):
+            for at in range(0, len(some), 65_536):
+                part = some[at : at + 65_536]
+                self.words.update(zip([x[0] for x in part], self.solved(query, [x[1] for x in part]), strict=True))
 
-    def joined(self, words: list[str]) -> tuple[int, bytes, bytes]:
-        found = [self.words[w] for w in words]
-        ids = [i for w in found for i in w[0]]
-        return len(ids), b",".join(b"%d" % i for i in ids), b"".join(w[1] for w in found)
+    def cut(self, text: str) -> list[str]:
+        """Keys of the text's segments: one with a leading space stands for what follows it, others for a space and itself."""
+        if self.unusual(text) or not text:
+            return [" " + text] if text else []
+        keys = text.split(" ")
+        keys[0] = " " + keys[0]
+        return keys
 
     def documents(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """Per text: number of ids, decimal ids joined by commas, decoded bytes."""
-        cut: list[list[str]] = []
-        needed: set[str] = set()
-        for t in texts:
-            if self.unusual(t) or not t:
-                segments = [t] if t else []
-            else:
-                first, *rest = t.split(" ")
-                segments = [first, *(" " + s for s in rest)]
-            needed.update(segments)
-            cut.append(segments)
-        new = needed.difference(self.segments)
-        if len(self.segments) + len(new) > CACHE // 2:
-            self.segments, new = {}, needed
-        words = {s: self.find(s) for s in new}
-        self.learn([w for x in words.values() for w in x])
-        for s, x in words.items():
-            self.segments[s] = self.joined(x)
+        cut = [self.cut(t) for t in texts]
+        needed = set().union(*cut)
+        new = needed.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE:
+            self.ids, self.back, new = {}, {}, needed
+        words = {s: self.find(s[1:] if s[0] == " " else " " + s) for s in new}
+        self.learn(set().union(*words.values()))
+        for s, some in words.items():
+            found = [self.words[w] for w in some]
+            self.ids[s], self.back[s] = found[0] if len(found) == 1 else (b",".join([f[0] for f in found]), b"".join([f[1] for f in found]))
         out = []
         for segments in cut:
-            found = [self.segments[s] for s in segments]
-            out.append((sum(f[0] for f in found), b",".join([f[1] for f in found]), b"".join([f[2] for f in found])))
+            ids = b",".join(map(self.ids.__getitem__, segments))
+            out.append((ids.count(b",") + 1 if ids else 0, ids, b"".join(map(self.back.__getitem__, segments))))
         for s in [s for s in new if len(s) > 4096]:  # whole unusual texts are not worth keeping
-            del self.segments[s]
+            del self.ids[s], self.back[s]
         return out
 
 
