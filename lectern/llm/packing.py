@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = True
         self.type = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.type).char
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -67,10 +69,10 @@ class Ids:
         cut = {c: _PIECES.findall(c.lower()) if _PLAIN.fullmatch(c) else [c] for c in new}
         words = list({w for x in cut.values() for w in x}.difference(self.words))
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, self.type).tobytes()
+            self.words[w] = array(self.code, e.ids).tobytes()
         get = self.words.__getitem__
         for c, x in cut.items():
-            self.chunks[c] = b"".join(map(get, x))
+            self.chunks[c] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [re.split(r"[ \t\n\r]+", t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
