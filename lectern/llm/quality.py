@@ -199,7 +199,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     model = LabelModel({r["votes"]: r["n"] for r in counts})
     total = sum(r["n"] for r in counts)
     # A hash cut that lets about 1.2 samples through, then the least hashes of these.
-    cut = (1 << 63) - 1 if total <= sample else int(-(1 << 63) + (1 << 64) * 1.2 * sample / total)
+    cut = (1 << 63) - 1 if total <= 1.2 * sample else min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * 1.2 * sample / total))
     rows_schema = pa.schema([("order", pa.int64()), ("votes", pa.string()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

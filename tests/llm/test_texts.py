@@ -97,6 +97,13 @@ def test_quality_of_odd_rows(make_docs, odd_rows):
     assert quality.classify(make_docs([])).count() == 0
 
 
+def test_quality_of_tables_just_over_the_sample(make_docs):
+    rows = [(k, f"Some plain words of document number {k} that say little.", "en") for k in range(12)]
+    for n in (10, 11, 12):  # the hash cut of 11 and 12 rows would be over the largest long
+        docs = make_docs(rows[:n]).select("doc_id", "text")
+        assert quality.judge(docs, *quality.fit(docs, sample=10), keep=["doc_id"]).count() == n
+
+
 def test_licences_find_notices_and_leave_others(make_docs):
     rows = [(i, f"Some words.\n{ts[0]}\nMore words.", "en") for i, ts in enumerate(licences.TEMPLATES.values())]
     rows += [(90, "He showed his license at the gate of the town.", "en"), (91, None, None), (92, "", None)]
