@@ -1,21 +1,25 @@
 """Licence scan of whole texts, paragraph by paragraph, in DataFrame functions only.
 
-1. Paragraphs are a text's lines. A paragraph without any cue word (a word that some template has and
-   that names a licence or a right) is none of a licence; all others are described by their word 1- and
-   2-grams that are in the vocabulary, which is the templates'.
+1. Lines with a cue word (a word that some template has and that names a licence or a right) are judged,
+   each by itself and in its wrapped paragraph. A line goes on in the next one unless it ends a sentence or
+   either has no words; of such a run, the lines from each one on that hold LONGEST more words (no
+   template has more) are one unit, so that a notice is whole in one of them however it is wrapped. Units
+   are described by their word 1- and 2-grams that are in the vocabulary, which is the templates'.
 2. A softmax regression on these sparse n-grams names the family or ``unknown``. It is trained from the
    templates (whole, by sentence and by parts) and, for ``unknown``, from everyday sentences with cue words
    and at most SAMPLE paragraphs of the corpus (of the least hash). Training reads only those rows; their
    n-grams are counted by Spark.
 3. Calibration: a temperature that minimises the log loss over the training rows left out of each of two
    halves, and a threshold that at most FALSE_RATE of the unknown rows pass.
-4. A prediction is confirmed by comparing the paragraph to the templates of its family: the share of a
-   template's 2-grams that the paragraph has must reach CONFIRM.
+4. A prediction is confirmed by comparing the unit to the templates of its family: the share of a
+   template's 2-grams that the unit has must reach CONFIRM. A line takes the result of the nearest confirmed
+   unit that it is in (the one with the fewest lines where equally near), but of several lines only where none
+   of them is confirmed by itself; without one, its own.
 
-Weights and templates are tables of a fixed size, broadcast. A result row is a paragraph with a cue word.
+Weights and templates are tables of a fixed size, broadcast. A result row is a line with a cue word.
 
-Defined results: null and empty texts have no paragraphs. Paragraph numbers count from 0 and include blank
-lines. Null and repeated ids are kept: rows of equal ids are told apart by the hash of their text only, equal
+Defined results: null and empty texts have no lines. Paragraph numbers are those of lines, count from 0 and
+include blank lines. Null and repeated ids are kept: rows of equal ids are told apart by the hash of their text only, equal
 rows give equal results once each. Ties between families go to the smaller name. An empty table gives no
 rows. Other columns are never read.
 """
@@ -26,7 +30,7 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
@@ -65,6 +69,9 @@ EVERYDAY = (
 CUES = ("licence", "licences", "licensed", "license", "licenses", "copyright", "reserved", "permission", "redistribution", "gpl", "bsd", "cc0", "cc", "apache", "mozilla", "creative", "domain")
 _WORD = re.compile(r"[a-z0-9]+")
 _CUE = r"(^|[^a-z0-9])(" + "|".join(CUES) + r")($|[^a-z0-9])"
+#: A line that ends a sentence.
+_END = r"[.!?\u2026\u3002\uff01\uff1f][)\]\"'\u00bb\u201d\u2019]*\s*$"
+LONGEST = max(len(_WORD.findall(t.lower())) for ts in TEMPLATES.values() for t in ts)
 
 
 def grams(text: str) -> set[str]:
@@ -79,11 +86,29 @@ def gram_column(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, paragraph, words of every paragraph with a cue word."""
+    """doc_id, key, paragraph, lines, words, covers, background of every unit with a cue word.
+
+    A unit is ``lines`` lines from line ``paragraph`` on; ``covers`` are those with a cue word. ``background``:
+    whether it may teach what is none of a licence (a line of its own, or the first of a run)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     rows = rows.filter(F.lower("text").rlike(_CUE)).distinct()
-    rows = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.lower("line").rlike(_CUE))
-    return rows.select("doc_id", "key", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("words"))
+    rows = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    words = F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)"), F.lit(1))
+    rows = rows.select("doc_id", "key", "paragraph", words.alias("words"), F.lower("line").rlike(_CUE).alias("cue"), (~F.col("line").rlike(_END)).alias("on"))
+    text = Window.partitionBy("doc_id", "key").orderBy("paragraph")
+    begins = (F.size("words") == 0) | ~F.lag(F.col("on") & (F.size("words") > 0), 1, False).over(text)
+    rows = rows.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("last", F.lead("begins", 1, True).over(text))
+    single = rows.filter("cue").select("doc_id", "key", "paragraph", F.lit(1).alias("lines"), "words", F.array("paragraph").alias("covers"), (F.col("begins") & F.col("last")).alias("background"))
+    # Every line of a run has a word, so that so many more lines are enough.
+    ahead = Window.partitionBy("doc_id", "key", "run").orderBy("paragraph").rowsBetween(1, LONGEST)
+    runs = rows.filter("not (begins and last)").withColumn("next", F.collect_list(F.struct("paragraph", "words", "cue")).over(ahead)).filter("not last")
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<paragraph:int,words:array<string>,cue:boolean>>").alias("taken"))
+    more = F.aggregate("next", start, lambda a, x: F.when(a["n"] >= LONGEST, a).otherwise(F.struct((a["n"] + F.size(x["words"])).alias("n"), F.concat(a["taken"], F.array(x)).alias("taken"))), lambda a: a["taken"])
+    runs = runs.select("doc_id", "key", "paragraph", "begins", F.concat(F.array(F.struct("paragraph", "words", "cue")), more).alias("unit"))
+    covers = F.transform(F.filter("unit", lambda x: x["cue"]), lambda x: x["paragraph"])
+    wrapped = runs.filter(F.exists("unit", lambda x: x["cue"])).select("doc_id", "key", "paragraph", F.size("unit").alias("lines"), F.flatten(F.transform("unit", lambda x: x["words"])).alias("words"), covers.alias("covers"), F.col("begins").alias("background"))
+    return single.unionByName(wrapped)
 
 
 def _fit(rows: list[tuple[set[str], int]], vocabulary: dict[str, int], classes: int, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -166,21 +191,22 @@ class LicenceModel:
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     """The model, with at most ``sample`` of the corpus's ``paragraphs`` as background."""
+    rows = rows.filter("background")
     known = F.array(*[F.lit(g) for g in sorted(set().union(*(grams(t) for ts in TEMPLATES.values() for t in ts), *(grams(t) for t in EVERYDAY)))])
     rows = rows.select(F.array_intersect(gram_column(F.col("words")), known).alias("g")).distinct()
     return LicenceModel([set(r["g"]) for r in rows.orderBy(F.xxhash64("g"), "g").limit(sample).collect()])
 
 
 def scan(rows: DataFrame, model: LicenceModel) -> DataFrame:
-    """doc_id, paragraph, family, probability, template, similarity, confirmed for each of the ``paragraphs``."""
+    """doc_id, paragraph, family, probability, template, similarity, confirmed for each line with a cue word of the ``paragraphs``."""
     spark = rows.sparkSession
     names = [f"z{k}" for k in range(len(model.classes))]
     weights = spark.createDataFrame([(g, *map(float, model.weights[i])) for g, i in model.vocabulary.items()], "gram string, " + ", ".join(f"{n} double" for n in names))
-    keys = ["doc_id", "key", "paragraph"]
-    each = rows.select(*keys, F.explode(gram_column(F.col("words"))).alias("gram"))
+    keys = ["doc_id", "key", "paragraph", "lines"]
+    each = rows.select(*keys, "covers", F.explode(gram_column(F.col("words"))).alias("gram"))
     # The vocabulary is fixed by the templates (about a thousand rows): proven small.
     known = each.join(F.broadcast(weights), "gram", "left")
-    summed = known.groupBy(*keys).agg(F.count("z0").alias("m"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
+    summed = known.groupBy(*keys).agg(F.first("covers").alias("covers"), F.count("z0").alias("m"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
     z = [(F.lit(float(b)) + F.col(n) / F.sqrt(F.greatest("m", F.lit(1)))) / F.lit(model.temperature) for n, b in zip(names, model.bias, strict=True)]
     top = F.greatest(*z)
     summed = summed.withColumn("e", F.array(*[F.exp(x - top) for x in z]))
@@ -190,7 +216,7 @@ def scan(rows: DataFrame, model: LicenceModel) -> DataFrame:
     best = F.array_max(F.slice("p", 1, n))
     family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position(F.slice("p", 1, n), best).cast("int"))
     sure = (1 - F.col("p")[n] >= model.threshold) & (best > F.col("p")[n])
-    named = summed.select(*keys, F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(sure, best).otherwise(F.col("p")[n]).alias("probability"))
+    named = summed.select(*keys, "covers", F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(sure, best).otherwise(F.col("p")[n]).alias("probability"))
     pairs = [(f, t, len(s), g) for f, ts in TEMPLATES.items() for t in ts for s in [{g for g in grams(t) if " " in g}] for g in s]
     templates = spark.createDataFrame(pairs, "family string, template string, size int, gram string")
     shared = each.join(F.broadcast(templates), "gram").groupBy(*keys, "family", "template", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -198,7 +224,14 @@ def scan(rows: DataFrame, model: LicenceModel) -> DataFrame:
     nearest = shared.select(*keys, "family", "template", share).groupBy(*keys, "family").agg(F.max(F.struct("similarity", "template")).alias("t"))
     out = named.alias("a").join(nearest.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "family"]], "left")
     similarity = F.coalesce(F.col("b.t.similarity"), F.lit(0.0))
-    return out.select("a.doc_id", "a.paragraph", "a.family", "a.probability", F.col("b.t.template").alias("template"), similarity.alias("similarity"), ((F.col("a.family") != UNKNOWN) & (similarity >= CONFIRM)).alias("confirmed"))
+    confirmed = (F.col("a.family") != UNKNOWN) & (similarity >= CONFIRM)
+    judged = out.select("a.doc_id", "a.key", F.col("a.paragraph").alias("start"), "a.lines", "a.covers", "a.family", "a.probability", F.col("b.t.template").alias("template"), similarity.alias("similarity"), confirmed.alias("confirmed"))
+    judged = judged.filter("lines = 1 or confirmed").withColumn("paragraph", F.explode("covers"))
+    alone = F.max(F.col("confirmed") & (F.col("lines") == 1)).over(Window.partitionBy("doc_id", "key", "paragraph"))
+    judged = judged.withColumn("alone", alone).withColumn("taken", F.max("alone").over(Window.partitionBy("doc_id", "key", "start", "lines"))).filter("lines = 1 or not taken")
+    order = F.struct("confirmed", "similarity", -F.col("lines"), "start")
+    best = judged.groupBy("doc_id", "key", "paragraph").agg(F.max_by(F.struct("family", "probability", "template", "similarity", "confirmed"), order).alias("best"))
+    return best.select("doc_id", "paragraph", "best.*")
 
 
 def op3_licences(spark, sf_dir: str) -> DataFrame:

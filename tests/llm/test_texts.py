@@ -114,6 +114,26 @@ def test_licences_find_notices_and_leave_others(make_docs):
     assert licences.scan(none, licences.train(none)).count() == 0
 
 
+def test_licences_find_wrapped_notices(make_docs):
+    import textwrap
+
+    notices = {"bsd": licences.TEMPLATES["bsd"][1], "mit": licences.TEMPLATES["mit"][2], "gpl": licences.TEMPLATES["gpl"][1]}
+    rows, want = [], set()
+    for k, (family, notice) in enumerate(sorted(notices.items())):
+        for j, width in enumerate((30, 50, 72)):
+            lines = textwrap.wrap(notice, width)
+            assert len(lines) > 1
+            for m, (before, after) in enumerate((("Some words.\n\n", "\n\nMore words."), ("Some words.\n", "\nMore words."), ("A heading\n * ", "\n"), ("a line of a list\n" * 200, "\na line of a list" * 200))):
+                rows.append((100 * k + 10 * j + m, before + "\n".join(lines) + after, "en"))
+                want.add((rows[-1][0], family))
+    rows += [(900, "He showed his license at the gate\nReleased under the MIT License", "en"), (None, "Released under the MIT License\nReleased under the BSD License", "en"), (901, "He showed his license\nat the gate of the town", "en")]
+    found = licences.paragraphs(make_docs(rows))
+    out = licences.scan(found, licences.train(found)).collect()
+    assert {(r["doc_id"], r["family"]) for r in out if r["confirmed"]} == want | {(900, "mit"), (None, "mit"), (None, "bsd")}
+    assert [(r["paragraph"], r["confirmed"]) for r in sorted(out, key=lambda r: r["paragraph"]) if r["doc_id"] == 900] == [(0, False), (1, True)]
+    assert len(out) == len({(r["doc_id"], r["paragraph"]) for r in out})
+
+
 def brute_rule(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
