@@ -131,7 +131,7 @@ def starts_section(line: Column) -> Column:
 def is_pinyin_body(line: Column) -> Column:
     """A long line that holds a run of mixed-case layout pinyin."""
     s = strip(line)
-    return (F.length(s) >= 12) & s.rlike("[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
+    return (F.length(s) >= 12) & s.rlike("[a-z][A-Za-z]*[A-Z][a-z]")
 
 
 def truthy(c: Column) -> Column:

@@ -8,23 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import starts_section
-from lectern.functions.text import compact, synthetic_id
+from lectern.functions.text import compact, strip, synthetic_id
 from lectern.operators import chunks, layout, lines, tables
-from lectern.operators.sequences import collapse_single, next_value
+from lectern.operators.sequences import collapse_single, next_value, reposition_first
 
 # --- Fixed values: the default patterns of the contents region ------------------------------------------
 START, ENDS = ["目录"], [r"识字表.*\d+", r"写字表.*\d+", "第一单元.*"]
 CHAR_TABLES = {"识字表": r"(\(|（)共\d+个生字(\)|）)", "写字表": r"(\(|（)共\d+个字(\)|）)"}
 WORD_TABLE, WORD_ENDS = "词语表", [r"(\(|（)共\d+个词(\)|）)", "后记"]
+MOVE_BEFORE, MOVE_BLOCKS = "第六单元", ("口语交际",)
 # --------------------------------------------------------------------------------------------------------
 
 
-def extract_contents(ln: DataFrame, part: list[str], han: int | None = 36, start=None, ends=None) -> DataFrame:
+def extract_contents(ln: DataFrame, part: list[str], han: int | None = 36, start=None, ends=None, move_before: str | None = MOVE_BEFORE, move_blocks: tuple[str, ...] = MOVE_BLOCKS) -> DataFrame:
     """part, toc_index, id, group_id, group_label, unit_type, unit_subtype, entry of every contents entry.
 
     Lines are split into columns, cells come in column-major order within blocks (a blank line before a new
-    section begins a block), equal neighbours are dropped, cells are parsed, and a lesson with a single
-    sublesson takes that one's title as its own second title."""
+    section begins a block), equal neighbours are dropped, cells are scanned for lessons and parsed, the first
+    activity of ``move_blocks`` after the section ``move_before`` that stood alone on the right of its line goes
+    before that section, and a lesson with a single sublesson takes that one's title as its own second title."""
     rows = lines.contents_region(ln, part, start or START, ends or ENDS)
     w = Window.partitionBy(*part).orderBy("line_no")
     follows = next_value(F.when(F.col("compact") != "", F.col("raw")), part, ["line_no"])
@@ -33,10 +35,14 @@ def extract_contents(ln: DataFrame, part: list[str], han: int | None = 36, start
     cells = rows.filter("compact <> ''").withColumn("s", layout.split_columns(F.col("raw"), han))
     before = F.lag("s").over(Window.partitionBy(*part, "block").orderBy("line_no"))
     cells = cells.withColumn("again", F.coalesce(before == F.col("s"), F.lit(False))).filter("not again")
-    each = cells.select(*part, "block", "line_no", F.posexplode(F.array("s.left", "s.right")).alias("side", "cell"))
+    each = cells.select(*part, "block", "line_no", (strip(F.col("s.left")) == "").alias("right_only"), F.posexplode(F.array("s.left", "s.right")).alias("side", "cell"))
+    each = layout.scan_cells(each, "cell", han)
     parsed = each.withColumn("entry", layout.parse_cell(F.col("cell"))).filter("entry is not null")
-    order = Window.partitionBy(*part).orderBy("block", "side", "line_no")
-    parsed = parsed.withColumn("place", F.row_number().over(order))
+    order = Window.partitionBy(*part).orderBy("block", "side", "line_no", "scan")
+    parsed = parsed.withColumn("read_no", F.row_number().over(order))
+    movable = (F.col("entry.kind") == "block_activity") & F.coalesce(F.col("entry.block").isin(*move_blocks), F.lit(False)) & F.col("right_only") & (F.col("side") == 1)
+    target = F.lit(False) if move_before is None else (F.col("entry.kind") == "section") & (F.col("entry.label") == move_before)
+    parsed = reposition_first(parsed, movable, target, part, "read_no").withColumnRenamed("new_no", "place")
     kind = F.col("entry.kind")
     title = F.concat_ws("", "entry.block", "entry.label", "entry.title")
     grouped = layout.typed(layout.group_tree(parsed, part, "place", kind == "section", F.col("entry.label")), title)

@@ -124,6 +124,41 @@ def parse_cell(cell: Column) -> Column:
     return out
 
 
+_LESSONS = rf"(?<!\p{{Nd}})(?:\p{{Nd}}{{1,2}}[*＊]?{_S}+.+?\.{{2,}}{_S}*\p{{Nd}}+)|(?<!\p{{Nd}})(?:\p{{Nd}}{{1,2}}[*＊]?{_S}+.+?{_S}{{2,}}\p{{Nd}}+)"
+
+
+def lesson_pieces(cell: Column) -> Column:
+    """The lessons of a cell (lesson) and what is between them, in order; a cell without lessons as it is."""
+    s = strip(cell)
+    pieces = F.split(F.regexp_replace(s, f"({_LESSONS})", "\u0001L$1\u0001"), "\u0001", -1)
+    each = F.transform(pieces, lambda p: F.struct(p.startswith("L").alias("lesson"), F.when(p.startswith("L"), F.substring(p, F.lit(2), F.length(p))).otherwise(strip(p)).alias("cell")))
+    c = lambda p: compact(p["cell"])
+    skipped = lambda p: (c(p) == "") | (~p["lesson"] & ((c(p) == "阅读") | c(p).rlike("^(?:" + "|".join(SKIPPED_PREFIXES) + ")")))
+    none = F.array(F.struct(F.lit(True).alias("lesson"), cell.alias("cell")))
+    return F.when(s.rlike(_LESSONS), F.filter(each, lambda p: ~skipped(p))).otherwise(none)
+
+
+def scan_cells(rows: DataFrame, cell: str, han: int | None = 36, levels: int = 2) -> DataFrame:
+    """One row for each piece of a cell, with scan (its place in the cell) and the piece as ``cell``.
+
+    A cell is split into columns once more, each is scanned for lessons, and what is between lessons goes the
+    same way again, split twice; that has no lesson, so that two levels are all."""
+    rows = rows.withColumn("scan", F.array().cast("array<int>")).withColumn("done", F.lit(False))
+
+    def split(rows: DataFrame) -> DataFrame:
+        sides = F.when(F.col("done"), F.array(F.col(cell))).otherwise(F.array("split.left", "split.right"))
+        rows = rows.withColumn("split", split_columns(F.col(cell), han))
+        rows = rows.select(*[x for x in rows.columns if x not in (cell, "split")], F.posexplode(sides).alias("at", cell)).filter(strip(F.col(cell)) != "")
+        return rows.withColumn("scan", F.concat("scan", F.array("at"))).drop("at")
+
+    for level in range(levels):
+        rows = split(split(rows) if level else rows)
+        pieces = F.when(F.col("done"), F.array(F.struct(F.lit(True).alias("lesson"), F.col(cell).alias("cell")))).otherwise(lesson_pieces(F.col(cell)))
+        rows = rows.select(*[x for x in rows.columns if x not in (cell, "done")], F.posexplode(pieces).alias("at", "piece"))
+        rows = rows.withColumn("scan", F.concat("scan", F.array("at"))).withColumn("done", F.col("piece.lesson")).withColumn(cell, F.col("piece.cell")).drop("at", "piece")
+    return rows.drop("done")
+
+
 def group_tree(entries: DataFrame, part: list[str], order: str, is_section: Column, label: Column) -> DataFrame:
     """Add group_id (dense from 1; rows before the first section have a group of their own) and group_label."""
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.rules import full_match, is_appendix_head, is_unit_title
+from lectern.functions.rules import full_match, is_appendix_head, is_pinyin_body, is_unit_title
 from lectern.functions.text import LINE_END, compact, normalise_spaces
 
 
@@ -74,7 +74,8 @@ def contents_region(lines: DataFrame, part: list[str], start: list[str], ends: l
     """Rows of a table of contents: after the start line up to the first stop at least ``least`` lines on.
 
     A stop that is an appendix line counts only within ``appendix_within`` lines, and not where the title
-    of a unit follows within ``unit_within`` lines."""
+    of a unit follows within ``unit_within`` lines. A line of layout pinyin, which only a body has, stops too.
+    A part without a start or without a stop is an error."""
     c = F.col("compact")
     w = Window.partitionBy(*part)
     rows = lines.withColumn("toc_start", F.min(F.when(full_match(c, start), F.col("line_no"))).over(w))
@@ -82,9 +83,13 @@ def contents_region(lines: DataFrame, part: list[str], start: list[str], ends: l
     depth = F.col("line_no") - F.col("toc_start")
     appendix = [p for p in ends if p.startswith(("识字表", "写字表"))]
     other = [p for p in ends if p not in appendix]
-    stop = (depth >= least) & (full_match(c, other) | (full_match(c, appendix) & (depth <= appendix_within) & ~F.col("unit_ahead")))
+    stop = (depth >= least) & (full_match(c, other) | (full_match(c, appendix) & (depth <= appendix_within) & ~F.col("unit_ahead")) | is_pinyin_body(F.col("raw")))
     rows = rows.withColumn("toc_end", F.min(F.when(stop, F.col("line_no"))).over(w))
-    return rows.filter((F.col("line_no") > F.col("toc_start")) & (F.col("toc_end").isNull() | (F.col("line_no") < F.col("toc_end"))))
+    name = F.concat_ws(" ", *[F.col(p).cast("string") for p in part])
+    # In the bounds themselves, so that the filter below cannot be taken before it.
+    lacks = F.when(F.col("toc_start").isNull(), F.raise_error(F.concat(F.lit("no start of the contents: "), name))).when(F.col("toc_end").isNull(), F.raise_error(F.concat(F.lit("no end of the contents: "), name)))
+    rows = rows.withColumn("toc_end", F.coalesce(lacks.cast("int"), F.col("toc_end")))
+    return rows.filter((F.col("line_no") < F.col("toc_end")) & (F.col("line_no") > F.col("toc_start")))
 
 
 def body_bounds(lines: DataFrame, part: list[str], scan: int = 500, override: int | None = None, is_start: Column | None = None, is_end: Column | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import rules, text
-from lectern.operators import chunks, layout, lines, lookup, sequences, tables
+from lectern.operators import chunks, contents, layout, lines, lookup, sequences, tables
 
 X1 = "识字表\n识字\n     tiQn  dK  rRn\n1   天 地 人\n     kGu Dr\n语文园地一   口 耳\n（共5个生字）\n"
 
@@ -132,3 +132,31 @@ def test_rules(spark):
     assert [kind(s) for s in ("  ", "12", "①", "仅供个人学习", "① 识字表中", "天")] == ["空行", "页码", "单独圆圈①", "版权声明", "脚注①", None]
     assert _one(spark, rules.unit_type(F.col("s")), s="◎习作例文：春") == ("习作", "习作例文")
     assert _one(spark, text.display_width(F.col("s")), s="a白\t") == 7
+
+
+def _contents(spark, body, stop="识字表....99", **options):
+    fill = "\n" * 22
+    docs = spark.createDataFrame([("b", f"目录\n{body}{fill}{stop}\n")], "book string, text string")
+    rows = contents.extract_contents(lines.explode_lines(docs), ["book"], **options).orderBy("toc_index").collect()
+    return [(r["entry"]["number"], r["entry"]["title"] or r["entry"]["label"], r["entry"]["page"]) for r in rows]
+
+
+def test_several_lessons_in_one_cell(spark):
+    assert _contents(spark, "1 A...2 2 B...4") == [("1", "A", 2), ("2", "B", 4)]
+    assert _contents(spark, "1 A...2   语文园地   2 B...4") == [("1", "A", 2), (None, "语文园地", None), ("2", "B", 4)]
+    assert _contents(spark, "1 A...2") == [("1", "A", 2)]
+
+
+def test_activity_alone_on_the_right_goes_before_its_section(spark):
+    body = "第五单元\n1 白鹭........2\n第六单元\n2 搭石........9\n" + " " * 40 + "口语交际：安慰........7"
+    moved = [(None, "第五单元", None), ("1", "白鹭", 2), (None, "安慰", 7), (None, "第六单元", None), ("2", "搭石", 9)]
+    assert _contents(spark, body) == moved
+    assert _contents(spark, body, move_before=None) == moved[:2] + moved[3:] + [moved[2]]
+    assert _contents(spark, body.replace("口语交际", "习作")) == moved[:2] + moved[3:] + [moved[2]]
+
+
+def test_contents_stop_at_pinyin_and_need_a_stop(spark):
+    assert _contents(spark, "1 A...2", stop="qiU tiQn de xiAo chuAn\n2 B...4\n识字表....99") == [("1", "A", 2)]
+    assert [_one(spark, rules.is_pinyin_body(F.col("s")), s=s) for s in ("qiU tiQn de xiAo", "xiAo", "kE kE kE kE kE kE", "1 abc ABC ...... 12")] == [True, False, False, False]
+    with pytest.raises(Exception, match="no end of the contents: b"):
+        _contents(spark, "1 A...2", stop="2 B...4")
