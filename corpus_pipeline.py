@@ -65,7 +65,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows equal in id and text count as one; documents without words stay."""
     found = jaccard.jaccard_components(docs)
     linked = found.filter("n_shingles > 0 and component_id is not null")
-    first = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select("k.*")
+    first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select("k.*")
     rest = found.filter("n_shingles = 0 or component_id is null").select("doc_id", "row_key")
     stay = first.unionByName(rest).distinct()
     keyed = docs.withColumn("stay_id", _key()[0]).withColumn("stay_key", _key()[1])

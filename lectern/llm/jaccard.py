@@ -216,7 +216,8 @@ def link_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) ->
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, and row_key (a hash of the text that tells equal ids apart)."""
+    """Per row: doc_id, n_shingles, component_id, row_key (a hash of the text that tells equal ids apart), and label
+    (the least class of the component, null without shingles), which tells apart components of equal ids."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
     rows = materialise(prefixes(docs, width, percent, frequency_bitmaps(docs, width)), "prefixes")
     labels = link_classes(docs, rows, width, percent)
@@ -225,16 +226,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         root = least.join(labels, "cls", "left")
         linked = root.filter("label is not null")
         by_root = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-        least = linked.join(by_root, "label").select("cls", "component_id").unionByName(root.filter("label is null").select("cls", F.col("least").alias("component_id")))
+        alone = root.filter("label is null").select("cls", F.col("cls").alias("label"), F.col("least").alias("component_id"))
+        least = linked.join(by_root, "label").select("cls", "label", "component_id").unionByName(alone)
     else:
-        least = least.withColumnRenamed("least", "component_id")
+        least = least.select("cls", F.col("cls").alias("label"), F.col("least").alias("component_id"))
     out = rows.select("doc_id", "n", "cls", "row_key").join(least, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "row_key")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "row_key", "label")
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key", "label")
 
 
 SQL_OP1 = r"""

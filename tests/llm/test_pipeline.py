@@ -27,6 +27,13 @@ def test_one_of_each_group(spark, make_docs, odd_rows):
     assert kept == Counter({c: 1 for _, _, c in brute_components(rows)})
 
 
+def test_unrelated_texts_of_one_id_both_stay(spark, make_docs):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(2, a, "en"), (2, b, "en"), (3, a + " more", "en"), (2, a, "en")]
+    kept = [tuple(r) for r in pipeline.one_of_each_group(spark, make_docs(rows), SF).select("doc_id", "text").collect()]
+    assert sorted(kept) == [(2, a), (2, b)]
+
+
 def test_texts_without_repeats(spark, make_docs, odd_rows):
     rows = [r for r in odd_rows if r[0] is not None]
     all_words = [WORD.findall(t or "") for _, t, _ in rows]
