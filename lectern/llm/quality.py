@@ -126,7 +126,7 @@ _shapes: dict[str, int] = {}
 
 
 def _shape(word: str) -> int:
-    kind = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
+    kind = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
     runs: list[str] = []
     for c in kind:
         if len(runs) < 2 or runs[-1] != c or runs[-2] != c:  # runs are two long at most

@@ -104,6 +104,10 @@ def test_quality_of_tables_just_over_the_sample(make_docs):
         assert quality.judge(docs, *quality.fit(docs, sample=10), keep=["doc_id"]).count() == n
 
 
+def test_shape_reads_whole_words():
+    assert len({quality._shape("a" * 64 + end) for end in ("a" * 6, "0" * 6, "A" * 6, "a" * 5000 + "$")}) == 4
+
+
 def test_licences_find_notices_and_leave_others(make_docs):
     rows = [(i, f"Some words.\n{ts[0]}\nMore words.", "en") for i, ts in enumerate(licences.TEMPLATES.values())]
     rows += [(90, "He showed his license at the gate of the town.", "en"), (91, None, None), (92, "", None)]
