@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +22,12 @@ _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode alone a local one if unset."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -47,11 +54,65 @@ def gather(df: DataFrame) -> list:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lectern-{uuid.uuid4().hex}/{name}"
-    with releasing(df.sparkSession):
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The folder goes with ``discard``, else when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}/{name}"
+    with releasing(spark):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder, files = _folder(spark, path.rpartition("/")[0])
+    files.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path  # type: ignore[attr-defined]
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete the files of what ``materialise`` returned and nothing reads any more."""
+    for df in written:
+        if df is not None:
+            folder, files = _folder(df.sparkSession, df.written_to.rpartition("/")[0])  # type: ignore[attr-defined]
+            files.delete(folder, True)
+
+
+class Kept:
+    """What a Python worker keeps for the next task: things of one operator at a time.
+
+    A worker outlives its tasks and serves all operators of a session. Taking a thing under another owner lets
+    go of all that was kept before, and gives the freed memory back to the system."""
+
+    owner, things = "", {}  # type: ignore[var-annotated]
+
+    @classmethod
+    def get(cls, owner: str, key: object, make: Callable[[], object]):
+        if cls.owner != owner:
+            cls.release()
+            cls.owner = owner
+        if key not in cls.things:
+            cls.things = {}  # one vocabulary or tokenizer is enough
+            cls.things[key] = make()
+        return cls.things[key]
+
+    @classmethod
+    def release(cls) -> None:
+        if cls.things:
+            cls.owner, cls.things = "", {}
+            trim()
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 #: Rows that a worker turns into Python objects at once.
@@ -89,60 +150,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int, base: U64) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+#: Bytes of texts whose words are hashed at once.
+BYTES_AT_ONCE = 1 << 18
 
 
-_BASE = U64(0xD6E8FEB86659FD93)
-_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_cache: dict[str, np.ndarray] = {"p": _powers(1 << 16, _BASE), "q": _powers(1 << 16, _INVERSE)}
+def grouped(some: list[bytes], most: int = BYTES_AT_ONCE) -> Iterator[list[bytes]]:
+    """The texts in groups of about ``most`` bytes."""
+    group: list[bytes] = []
+    held = 0
+    for text in some:
+        group.append(text)
+        held += len(text)
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """A 64-bit hash of every word (runs without the six ASCII white-space bytes), and the words."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64), words
-    data = np.frombuffer(b"".join(words), np.uint8)
-    if len(data) >= len(_cache["p"]):
-        n = 1 << len(data).bit_length()
-        _cache["p"], _cache["q"] = _powers(n, _BASE), _powers(n, _INVERSE)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.cumsum(length) - length
-    total = np.add.reduceat(_BYTE[data] * _cache["p"][: len(data)], start)
-    out = mix(total * _cache["q"][start] + length.astype(np.uint64) * _ODD)
-    if len(_cache["p"]) > 1 << 22:  # one very long text does not pin its tables
-        _cache["p"], _cache["q"] = _cache["p"][: 1 << 16].copy(), _cache["q"][: 1 << 16].copy()
-    return out, words
+def word_hashes(some: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """A 64-bit hash of every word (runs without the six ASCII white-space bytes) of the texts, one text after the
+    other, and the places where texts begin, with the end as the last."""
+    words = [t.split() for t in some]
+    edges = [0, *accumulate(map(len, words))]
+    flat = words[0] if len(words) == 1 else [w for x in words for w in x]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)), edges
 
 
 def rolling(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` word hashes; empty if there are fewer words."""
-    n = len(words) - width + 1
-    if n <= 0:
+    """A 64-bit hash of each run of ``width`` word hashes; empty if there are fewer words.
+
+    Runs of twice the length are hashed from two runs of the length before, so that no sum or product of word
+    hashes can cancel out. Another salt gives an independent hash of the same words."""
+    if len(words) < width:
         return np.zeros(0, np.uint64)
-    power = _powers(width, _BASE)
-    if width <= 8:
-        total = np.zeros(n, np.uint64)
-        for k in range(width):
-            total += words[k : k + n] * power[k]
-    else:  # sums of prefixes, then taken back to position 0
-        if len(words) >= len(_cache["p"]):
-            m = 1 << len(words).bit_length()
-            _cache["p"], _cache["q"] = _powers(m, _BASE), _powers(m, _INVERSE)
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * _cache["p"][: len(words)], dtype=np.uint64, out=sums[1:])
-        total = (sums[width:] - sums[:-width]) * _cache["q"][:n]
-    return mix(total + U64((width + 1000 * salt) * int(_ODD) % (1 << 64)))
-
-
-def parts_for(df: DataFrame, per_input: int = 4, least: int = 16, most: int = 1 << 16) -> int:
-    """A power of two in proportion to the number of input partitions."""
+    add = U64((1 + salt) * int(_ODD) % (1 << 64))
+    runs, have = words, 1
+    while have < width:
+        step = min(have, width - have)
+        runs = mix(runs[: len(runs) - step] * _M2 + (runs[step:] ^ add))
+        have += step
+    return mix(runs + U64((width + 1000 * salt) * int(_ODD) % (1 << 64)))
+
+
+#: Bits of the largest bitmap that is broadcast (64 MB): its size is bounded whatever the data.
+MOST_BITS = 29
+
+
+def bits_for(df: DataFrame, least: int = 22) -> int:
+    """The size of a bitmap of hashes, in powers of two: a bit for every eight bytes of input, MOST_BITS at most.
+
+    A fuller bitmap lets more through to the exact step that follows; it never changes a result."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = min(size, split * df.rdd.getNumPartitions())  # the former is unknown for what is no file
+    return max(least, min(MOST_BITS, round(math.log2(max(size, 1))) - 3))
+
+
+def parts_for(df: DataFrame, bits: int, per_input: int = 4, least: int = 16) -> int:
+    """A power of two in proportion to the number of input partitions; each part has whole bytes of a bitmap."""
     wanted = max(least, per_input * df.rdd.getNumPartitions())
-    return min(most, 1 << (wanted - 1).bit_length())
+    return min(1 << (bits - 3), 1 << (wanted - 1).bit_length())
 
 
 def bitmap(df: DataFrame, long_col: str, bits: int) -> np.ndarray:

@@ -4,25 +4,28 @@ A document's set is its distinct WIDTH-word shingles (64-bit hashes; lower-cased
 is one shingle). Documents link when 100 * intersection >= 75 * union.
 
 1. Frequencies. All shingles of all documents are dealt out by ranges of their hash and counted. What stays
-   are a few bitmaps of fixed size: one for each frequency class. They define the global n-gram order:
+   are a few bitmaps of bounded size: one for each frequency class. They define the global n-gram order:
    by class, then hash. A bit shared by two n-grams only moves one of them to a later class, for all
    documents alike, so that the order stays one and the same and no link is lost.
 2. Candidates. By the prefix principle two linked documents share an n-gram among the first
    n - ceil(0.75 n) + 1 of each, in that order. N-grams that no other document has come first and are
-   not even sent on. Documents with equal sets are one class from here on.
-3. Overlaps. The n-gram sets of documents with candidates are cut vertically, by hash ranges, into
+   not even sent on. Documents with equal sets (by 128 bits) are one class from here on. A class that can
+   link with none of the sizes that hold an n-gram is no holder of it.
+3. Overlaps. The n-gram sets of classes with candidates are cut vertically, by hash ranges, into
    FRAGMENTS fragments. Each fragment counts a pair's partial overlap by itself; partial counts are summed
    per pair, and the sum is held against the threshold: exact.
 4. Groups of near copies. Not all pairs of a group are formed. A first round pairs the holders of an
-   n-gram with one hub of theirs, which is linear in the holders; the links found make components. Later
+   n-gram with one hub of theirs, which is linear in the holders. The hub is the holder with the fewest n-grams
+   of its own: what its copies have changed, it has not, so that a copy that links with any of the group
+   most often links with it. The links found make components. Later
    rounds take other hubs, twice as many each time (64 at most), only where an n-gram's holders still are of
    different components. When that gains little more, all remaining pairs of different components that can still link by their places in
    the global order (and only these) are counted, so that the components are exact whatever the hubs were.
 
-Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are their own component.
-Every row gives a row; rows with equal ids are separate documents (component ids are the smallest id of a
-component's rows; null ids never become one unless all its rows have null ids). Other columns are never
-read. An empty table gives no rows.
+Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are their own component. A
+very long text is one set like any other, held whole by one worker. Every row gives a row; rows with equal ids
+are separate documents (component ids are the smallest id of a component's rows; null ids never become one
+unless all its rows have null ids). Other columns are never read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,30 +37,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, Dealer, bitmap, gather, gathered, in_bitmap, leading, materialise, mix, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
+from lectern.llm.common import U64, Dealer, bitmap, bits_for, discard, gather, gathered, grouped, in_bitmap, leading, materialise, mix, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
 from lectern.llm.components import components
 
 WIDTH, PERCENT = 5, 75
 FRAGMENTS = 4
-#: Frequency classes: an n-gram with at least so many holders is of the class; and the bits of its bitmap.
-CLASSES = ((2, 26), (8, 24), (64, 24), (1024, 24))
-ACTIVE_BITS = 24
+#: Frequency classes: an n-gram with at least so many holders is of the class; and how many bits fewer, in powers
+#: of two, its bitmap has (fewer n-grams are that frequent).
+CLASSES = ((2, 0), (8, 2), (64, 2), (1024, 2))
 #: Hub rounds go on while pairs that share an n-gram and are of different components are over RESIDUE times the
 #: holders, and at least GAIN of the pairs of the round before did link (those that are just not alike never do).
-RESIDUE, GAIN, ROUNDS = 0.05, 0.1, 6
+RESIDUE, GAIN, ROUNDS = 0.5, 0.1, 6
 
 
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words, _ = word_hashes(text.lower())
-    if len(words) == 0:
-        return words
-    return np.unique(rolling(words, min(width, len(words))))
+def shingle_sets(some: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for group in grouped(some):
+        words, edges = word_hashes([t.lower() for t in group])
+        grams = rolling(words, width)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield np.unique(grams[a : b - width + 1]) if b - a >= width else rolling(words[a:b], b - a) if b > a else words[:0]
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    total = mix(mix(tokens ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64, keepdims=True) + np.array([len(tokens)], np.uint64))
-    return int(total.view(np.int64)[0])
+def set_hash(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set of n-grams."""
+    size = np.array([len(tokens)], np.uint64)
+    return tuple(int(mix(mix(tokens ^ U64(salt)).sum(dtype=np.uint64, keepdims=True) + size).view(np.int64)[0]) for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B))
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -66,13 +71,14 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def frequency_bitmaps(docs: DataFrame, width: int) -> list[np.ndarray]:
-    parts = parts_for(docs)
+    bits_of = [bits_for(docs) - less for _, less in CLASSES]
+    parts = parts_for(docs, min(bits_of))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(parts)
         for batch in pieces(batches):
-            for text in texts(batch.column(0)):
-                if dealer.add(shingles(text, width)):
+            for tokens in shingle_sets(texts(batch.column(0)), width):
+                if dealer.add(tokens):
                     yield from dealer.rows()
         yield from dealer.rows()
 
@@ -82,74 +88,73 @@ def frequency_bitmaps(docs: DataFrame, width: int) -> list[np.ndarray]:
     def count(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         hashes, times, _ = gathered(group)
-        out = {n: [slice_of(hashes[times >= least], part, parts, bits)] for n, (least, bits) in zip(names, CLASSES, strict=True)}
+        out = {n: [slice_of(hashes[times >= least], part, parts, bits)] for n, (least, _), bits in zip(names, CLASSES, bits_of, strict=True)}
         return pa.Table.from_batches([table({"part": [part]} | out, fields)])
 
     rows = gather(docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(count, "part int, " + ", ".join(f"{n} binary" for n in names)))
-    return [whole({r["part"]: bytes(r[n]) for r in rows}, parts, bits) for n, (_, bits) in zip(names, CLASSES, strict=True)]
+    return [whole({r["part"]: bytes(r[n]) for r in rows}, parts, bits) for n, bits in zip(names, bits_of, strict=True)]
 
 
-_PREFIX = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("alone", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("alone", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, bitmaps: list[np.ndarray]) -> DataFrame:
-    """Per row: set size, class of equal sets, and those of its prefix that other rows may have too."""
+    """Per row: set size, class of equal sets, and those of its prefix that other rows may have too (once a task for
+    each class, else null)."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits_of = [len(b).bit_length() + 2 for b in shared.value]
+        done: set[tuple[int, int]] = set()  # emptied when large
         for batch in pieces(batches):
-            n, cls, alone, prefix = [], [], [], []
-            for text in texts(batch.column(2)):
-                tokens = shingles(text, width)
-                n.append(len(tokens))
-                if not len(tokens):
-                    alone.append(0)
-                    cls.append(None)
-                    prefix.append([])
-                    continue
-                cls.append(set_hash(tokens))
-                kind = np.zeros(len(tokens), np.int64)
-                for k, (_, bits) in enumerate(CLASSES):
-                    kind[leading(shared.value[k], tokens, bits)] = k + 1
-                alone.append(int((kind == 0).sum()))
-                room = len(tokens) - needed(len(tokens), percent) + 1 - alone[-1]
-                live = np.flatnonzero(kind)
-                live = live[np.argsort(kind[live], kind="stable")]  # tokens are in order of their hash
-                prefix.append(tokens[live[: max(room, 0)]].view(np.int64))
-            yield table({"doc_id": batch.column(0), "row_key": batch.column(1), "n": n, "cls": cls, "alone": alone, "prefix": prefix}, _PREFIX)
-
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n int, cls long, alone int, prefix array<long>")
-
-
-_SEGMENT = pa.schema([("cls", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+            out: dict[str, list] = {k: [] for k in ("n", "c1", "c2", "alone", "prefix")}
+            for tokens in shingle_sets(texts(batch.column(2)), width):
+                key = set_hash(tokens) if len(tokens) else (None, None)
+                alone, prefix = 0, None
+                if key not in done and len(tokens):
+                    if len(done) > 200_000:
+                        done.clear()
+                    done.add(key)
+                    kind = np.zeros(len(tokens), np.int64)
+                    for k, bits in enumerate(bits_of):
+                        kind[leading(shared.value[k], tokens, bits)] = k + 1
+                    alone = int((kind == 0).sum())
+                    room = len(tokens) - needed(len(tokens), percent) + 1 - alone
+                    live = np.flatnonzero(kind)
+                    live = live[np.argsort(kind[live], kind="stable")]  # tokens are in order of their hash
+                    prefix = tokens[live[: max(room, 0)]].view(np.int64)
+                for k, x in zip(out, (len(tokens), *key, alone, prefix), strict=True):
+                    out[k].append(x)
+            yield table({"doc_id": batch.column(0), "row_key": batch.column(1)} | out, _PREFIX)
+
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n int, c1 long, c2 long, alone int, prefix array<long>")
+
+
+_SEGMENT = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
 
 def segments(docs: DataFrame, width: int, active: np.ndarray) -> DataFrame:
-    """The sets of the classes in ``active``, cut into fragments: cls, fragment, tokens."""
+    """The sets of the classes in ``active``, cut into fragments: c1, c2, fragment, tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(active)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # one of equal sets is enough; emptied when large
+        done: set[tuple[int, int]] = set()  # one of equal sets is enough; emptied when large
+        bits = (len(shared.value) - 4096).bit_length() + 2
         for batch in pieces(batches):
-            cls, fragment, cut = [], [], []
-            for text in texts(batch.column(0)):
-                tokens = shingles(text, width)
-                if not len(tokens) or (c := set_hash(tokens)) in done or not in_bitmap(shared.value, np.array([c], np.int64).view(np.uint64), ACTIVE_BITS)[0]:
+            rows: list[tuple] = []
+            for tokens in shingle_sets(texts(batch.column(0)), width):
+                if not len(tokens) or (c := set_hash(tokens)) in done or not in_bitmap(shared.value, np.array(c[:1], np.int64).view(np.uint64), bits)[0]:
                     continue
-                if len(done) > 1_000_000:
+                if len(done) > 200_000:
                     done.clear()
                 done.add(c)
                 where = (tokens >> U64(62)).astype(np.int64) * FRAGMENTS // 4
                 edges = np.searchsorted(where, np.arange(FRAGMENTS + 1))
-                for f in range(FRAGMENTS):
-                    if edges[f] < edges[f + 1]:
-                        cls.append(c)
-                        fragment.append(f)
-                        cut.append(tokens[edges[f] : edges[f + 1]].view(np.int64))
-            if cls:
-                yield table({"cls": cls, "fragment": fragment, "tokens": cut}, _SEGMENT)
+                rows += [(*c, f, tokens[edges[f] : edges[f + 1]].view(np.int64)) for f in range(FRAGMENTS) if edges[f] < edges[f + 1]]
+            if rows:
+                yield table(dict(zip(_SEGMENT.names, zip(*rows, strict=True), strict=True)), _SEGMENT)
 
-    return docs.select("text").mapInArrow(run, "cls long, fragment int, tokens array<long>").groupBy("cls", "fragment").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text").mapInArrow(run, "c1 long, c2 long, fragment int, tokens array<long>").groupBy("c1", "c2", "fragment").agg(F.first("tokens").alias("tokens"))
 
 
 def counted(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
@@ -174,23 +179,32 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return left.join(r, "token").filter((F.col("label") != F.col("label2")) & fit).select(*ends).distinct()
 
 
-def link_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """cls, label: components of the classes of equal sets, for the classes that have links."""
-    held = rows.select(F.posexplode("prefix").alias("at", "token"), "cls", "n", "alone")
-    held = held.groupBy("token", "cls").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+def _holders(classes: DataFrame, percent: int) -> DataFrame:
+    """token, cls, c1, c2, n, alone, rest of the n-grams that several classes hold and can link by."""
+    held = classes.select(F.posexplode("prefix").alias("at", "token"), "cls", "c1", "c2", "n", "alone")
+    held = held.select("token", "cls", "c1", "c2", "n", "alone", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
     held = materialise(held, "holders")
-    several = held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    held = materialise(held.join(several, "token"), "shared")
-    active = bitmap(held.select("cls").distinct(), "cls", ACTIVE_BITS)
+    several = held.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least_n")).filter("k > 1").drop("k")
+    # The overlap of a pair that links by its first n-gram is at most the smaller rest; no partner is smaller than least_n.
+    fit = (100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least_n"))
+    out = materialise(held.join(several, "token").filter(fit).drop("least_n"), "shared")
+    discard(held)
+    return out
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """cls, label: components of the classes of equal sets, for the classes that have links."""
+    held = _holders(classes, percent)
+    keys = held.select("cls", "c1", "c2").distinct()
+    active = bitmap(keys, "c1", bits_for(docs) - 2)
     if not active.any():
         return None
-    segs = materialise(segments(docs, width, active), "segments")
+    segs = segments(docs, width, active).join(keys, ["c1", "c2"]).select("cls", "fragment", "tokens")
+    segs, shared, held = materialise(segs, "segments"), held, held.drop("c1", "c2")
     total = held.count()
     links, labels, gain = None, None, 1.0
     for round_ in range(ROUNDS + 1):
-        now = held.withColumn("label", F.col("cls")) if labels is None else held.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        if labels is not None:
-            now = materialise(now, f"labelled{round_}")
+        now = held.withColumn("label", F.col("cls")) if labels is None else materialise(held.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), f"labelled{round_}")
         per = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         per = per.groupBy("token").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max_by("label", "m").alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
         left = per.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0]
@@ -201,37 +215,41 @@ def link_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) ->
         if last:
             pairs = _pairs(mixed.filter("label != most"), now, percent)
         else:
-            order = F.col("cls") if round_ == 0 else F.xxhash64("cls", "token", F.lit(round_))
-            slot = F.pmod(order, F.lit(1 << round_)).alias("slot")  # twice the hubs in each round
-            hub = mixed.groupBy("token", slot).agg(F.min_by(F.struct("cls", "n", "rest", "label"), order).alias("hub")).select("token", "hub.*")
+            slot = F.pmod(F.xxhash64("cls", "token", F.lit(round_)), F.lit(1 << round_)).alias("slot")  # twice the hubs in each round
+            hub = mixed.groupBy("token", slot).agg(F.min_by(F.struct("cls", "n", "rest", "label"), F.struct("alone", -F.col("n"), "cls")).alias("hub")).select("token", "hub.*")
             pairs = _pairs(mixed, hub, percent)
         pairs = materialise(pairs, f"pairs{round_}")
         found = materialise(counted(pairs, segs, percent), f"links{round_}")
         gain = found.count() / max(1, pairs.count())
+        discard(pairs, now if labels is not None else None)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if last:
             break
+    discard(segs, shared)
     return labels
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, row_key (a hash of the text that tells equal ids apart), and label
-    (the least class of the component, null without shingles), which tells apart components of equal ids."""
+    (a class of the component, null without shingles), which tells apart components of equal ids."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
     rows = materialise(prefixes(docs, width, percent, frequency_bitmaps(docs, width)), "prefixes")
-    labels = link_classes(docs, rows, width, percent)
-    least = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    of_class = [F.max("n").alias("n"), F.min("doc_id").alias("least"), F.max("alone").alias("alone"), F.first("prefix", ignorenulls=True).alias("prefix")]
+    classes = rows.filter("n > 0").groupBy("c1", "c2").agg(*of_class).withColumn("cls", F.monotonically_increasing_id())
+    classes = materialise(classes, "classes")
+    labels = link_classes(docs, classes, width, percent)
+    least = classes.select("c1", "c2", "cls", "least")
     if labels is not None:
         root = least.join(labels, "cls", "left")
         linked = root.filter("label is not null")
         by_root = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-        alone = root.filter("label is null").select("cls", F.col("cls").alias("label"), F.col("least").alias("component_id"))
-        least = linked.join(by_root, "label").select("cls", "label", "component_id").unionByName(alone)
+        alone = root.filter("label is null").select("c1", "c2", F.col("cls").alias("label"), F.col("least").alias("component_id"))
+        least = linked.join(by_root, "label").select("c1", "c2", "label", "component_id").unionByName(alone)
     else:
-        least = least.select("cls", F.col("cls").alias("label"), F.col("least").alias("component_id"))
-    out = rows.select("doc_id", "n", "cls", "row_key").join(least, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        least = least.select("c1", "c2", F.col("cls").alias("label"), F.col("least").alias("component_id"))
+    out = rows.select("doc_id", "n", "c1", "c2", "row_key").join(least, ["c1", "c2"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "row_key", "label")
 
 

@@ -7,11 +7,14 @@ another document. Every word that a repeated window covers is removed.
    are indexed and probed with every rolling window of 18 words of every document. A window of 35 words
    always holds a whole reference block, and where the window is repeated, that block's words come again.
    Index and probes are dealt out by ranges of their hash and matched there; a hit is a block that comes
-   anywhere else. Hits are kept as a bitmap of fixed size (a false bit costs work, not results).
-2. Extension. Each hit is extended over all windows of 35 words around it; these windows are dealt out and
-   counted, and those that come twice or more are the repeats.
-3. Maximal repeats. The repeated windows are joined back to their documents exactly (the bitmap of step 2
-   only thins out the rows), consecutive ones merge to maximal repeats, and what they cover goes.
+   anywhere else. Hits are kept as a bitmap of bounded size (a false bit costs work, not results).
+2. Extension. Each hit is extended to the left and right, over all windows of 35 words around it; these windows
+   are dealt out and counted, and those that come twice or more may be repeats (again a bounded bitmap).
+   A hit is not extended against each other place of its block by itself: a passage of k copies has k * k such
+   pairs. Windows, which all copies share, say the same with k rows.
+3. Maximal repeats. The windows that are left are grouped by 128 bits of hash over all documents, and joined
+   back to their documents where they come twice or more, which is exact whatever the bitmaps let through.
+   Consecutive ones merge to maximal repeats, and what they cover goes.
 
 All counts are over all documents. Nothing is collected per hash: a hash that is everywhere is summed per
 task first, and the join back is an inner join that splits skewed keys.
@@ -32,28 +35,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Dealer, gather, gathered, leading, map_arrow, materialise, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
+from lectern.llm.common import Dealer, bits_for, discard, gather, gathered, grouped, leading, map_arrow, materialise, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
 
 WINDOW, BLOCK = 35, 18
-BITS = 26
 
 
 def anchors(docs: DataFrame, window: int, block: int, bits: int) -> np.ndarray:
     """The bitmap of reference blocks that come anywhere else."""
-    parts = parts_for(docs)
+    parts = parts_for(docs, bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(parts)
         for batch in pieces(batches):
-            for text in texts(batch.column(0)):
-                words, _ = word_hashes(text)
-                if len(words) < window:
-                    continue
-                probes = rolling(words, block)
-                dealer.add(probes[::block], 1)
-                aligned = np.zeros(len(probes), bool)
-                aligned[::block] = True
-                if dealer.add(probes[~aligned], 0):
+            for group in grouped(texts(batch.column(0))):
+                words, edges = word_hashes(group)
+                probes, kind = rolling(words, block), np.full(max(0, len(words) - block + 1), 2, np.int8)
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if b - a >= window:
+                        kind[a : b - block + 1] = 0
+                        kind[a : b - block + 1 : block] = 1
+                dealer.add(probes[kind == 1], 1)
+                if dealer.add(probes[kind == 0], 0):
                     yield from dealer.rows()
         yield from dealer.rows()
 
@@ -66,72 +68,90 @@ def anchors(docs: DataFrame, window: int, block: int, bits: int) -> np.ndarray:
     return whole({r["part"]: bytes(r["hits"]) for r in rows}, parts, bits)
 
 
-def near_hits(words: np.ndarray, hits: np.ndarray, bits: int, window: int, block: int) -> np.ndarray:
-    """Starts of the windows that hold a reference block with a hit, in order."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    live = leading(hits, rolling(words, block)[::block], bits)
-    first = -(-np.arange(n) // block)  # a window's first whole reference block
-    return np.flatnonzero(live[first])
-
-
-def repeats(docs: DataFrame, hits: np.ndarray, window: int, block: int, bits: int) -> tuple[DataFrame, np.ndarray]:
-    """The windows around hits that come twice or more: their hashes, and the bitmap of these."""
-    parts = parts_for(docs)
+class Around:
+    """The windows around hits, group of texts by group of texts."""
+
+    def __init__(self, hits: np.ndarray, bits: int, window: int, block: int) -> None:
+        self.hits, self.bits, self.window, self.block = hits, bits, window, block
+
+    def of(self, group: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text with any: its number, starts in the text, their hashes, and its words' hashes."""
+        words, edges = word_hashes(group)
+        blocks, windows = rolling(words, self.block), None
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            n = b - a - self.window + 1
+            if n <= 0:
+                continue
+            live = leading(self.hits, blocks[a : b - self.block + 1 : self.block], self.bits)
+            if not live.any():
+                continue
+            at = np.flatnonzero(np.repeat(live, self.block)[self.block - 1 :][:n])  # by a window's first whole block
+            if len(at):
+                windows = rolling(words, self.window, 1) if windows is None else windows
+                yield k, at, windows[a + at], words[a:b]
+
+
+def repeats(docs: DataFrame, hits: np.ndarray, window: int, block: int, bits: int) -> np.ndarray:
+    """The bitmap of the windows around hits that come twice or more."""
+    parts = parts_for(docs, bits)
     shared = docs.sparkSession.sparkContext.broadcast(hits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(parts)
+        dealer, around = Dealer(parts), Around(shared.value, bits, window, block)
         for batch in pieces(batches):
-            for text in texts(batch.column(0)):
-                words, _ = word_hashes(text)
-                at = near_hits(words, shared.value, bits, window, block)
-                if len(at) and dealer.add(rolling(words, window, 1)[at]):
-                    yield from dealer.rows()
+            for group in grouped(texts(batch.column(0))):
+                for _, _, found, _ in around.of(group):
+                    if dealer.add(found):
+                        yield from dealer.rows()
         yield from dealer.rows()
 
     def count(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         hashes, times, _ = gathered(group)
-        again = hashes[times > 1]
-        return pa.table({"part": pa.array([part], pa.int32()), "again": pa.array([slice_of(again, part, parts, bits)], pa.binary()), "hashes": pa.array([again.view(np.int64)], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([part], pa.int32()), "again": pa.array([slice_of(hashes[times > 1], part, parts, bits)], pa.binary())})
 
-    found = materialise(docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(count, "part int, again binary, hashes array<long>"), "repeats")
-    bitmap = whole({r["part"]: bytes(r["again"]) for r in gather(found.select("part", "again"))}, parts, bits)
-    return found.select(F.explode("hashes").alias("h")), bitmap
+    rows = gather(docs.select("text").mapInArrow(deal, Dealer.SCHEMA).groupBy("part").applyInArrow(count, "part int, again binary"))
+    return whole({r["part"]: bytes(r["again"]) for r in rows}, parts, bits)
 
 
-_PLACES = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("at", pa.int32())])
+_PLACES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("at", pa.int32())])
 
 
 def places(docs: DataFrame, hits: np.ndarray, again: np.ndarray, window: int, block: int, bits: int) -> DataFrame:
-    """Where windows that may be repeated start: hash, key of the text, place."""
+    """Where windows that may be repeated start: two hashes, key of the text, place.
+
+    Equal texts have equal places: a task gives those of a text twice at most, which is enough to see that they
+    come again."""
     shared = docs.sparkSession.sparkContext.broadcast((hits, again))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()  # equal texts have equal places; emptied when large
+        done: dict[tuple[int, int], int] = {}  # emptied when large
+        around = Around(shared.value[0], bits, window, block)
         for batch in pieces(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for key, text in zip(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), texts(batch.column(0)), strict=True):
-                if key in done:
-                    continue
-                words, _ = word_hashes(text)
-                at = near_hits(words, shared.value[0], bits, window, block)
-                if not len(at):
-                    continue
-                if len(done) > 1_000_000:
-                    done.clear()
-                done.add(key)
-                h = rolling(words, window, 1)[at]
-                some = leading(shared.value[1], h, bits)
-                n = int(some.sum())
-                for column, x in zip(out, (h[some].view(np.int64), np.full(n, key[0], np.int64), np.full(n, key[1], np.int32), at[some].astype(np.int32)), strict=True):
-                    column.append(x)
-            if out[0]:
-                yield table(dict(zip(_PLACES.names, map(np.concatenate, out), strict=True)), _PLACES)
-
-    return docs.select("text", "k1", "k2").mapInArrow(run, "h long, k1 long, k2 int, at int")
+            keys, data, fresh = [], [], zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for key, text in zip(fresh, texts(batch.column(0)), strict=True):
+                if done.get(key, 0) < 2:
+                    if len(done) > 200_000:
+                        done.clear()
+                    done[key] = done.get(key, 0) + 1
+                    keys.append(key)
+                    data.append(text)
+            first = 0
+            for group in grouped(data):
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                for k, at, h, words in around.of(group):
+                    some = leading(shared.value[1], h, bits)
+                    if not some.any():
+                        continue
+                    key, at, n = keys[first + k], at[some], int(some.sum())
+                    other = rolling(words, window, 2)[at]
+                    for column, x in zip(out, (h[some].view(np.int64), other.view(np.int64), np.full(n, key[0], np.int64), np.full(n, key[1], np.int32), at.astype(np.int32)), strict=True):
+                        column.append(x)
+                first += len(group)
+                if out[0]:
+                    yield table(dict(zip(_PLACES.names, map(np.concatenate, out), strict=True)), _PLACES)
+
+    return docs.select("text", "k1", "k2").mapInArrow(run, "h1 long, h2 long, k1 long, k2 int, at int")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -143,14 +163,17 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def with_repeats(docs: DataFrame, window: int = WINDOW, bits: int = BITS) -> DataFrame:
+def with_repeats(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
     """``docs`` (with a column text) and, in a column starts, where the repeated windows of each text start."""
     block = (window + 1) // 2
     keyed = docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.hash("text"))
+    bits = bits or bits_for(docs)
     hits = anchors(keyed, window, block, bits)
-    found, again = repeats(keyed, hits, window, block, bits)
-    exact = places(keyed, hits, again, window, block, bits).join(found, "h")
+    found = materialise(places(keyed, hits, repeats(keyed, hits, window, block, bits), window, block, bits), "places")
+    several = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    exact = found.join(several, ["h1", "h2"])
     starts = materialise(exact.groupBy("k1", "k2").agg(F.collect_set("at").alias("starts")), "starts")
+    discard(found)
     return keyed.join(starts, ["k1", "k2"], "left").drop("k1", "k2")
 
 

@@ -101,3 +101,42 @@ def test_top_k_ties_nulls_and_lengths(spark):
     assert {tuple(r) for r in top_k(df, df.filter("vec_id % 100 = 0")).collect()} == want
     none = df.limit(0)
     assert top_k(none, none).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two words of which sums of powers modulo 2**64 are equal."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_different_words_stay_different(make_docs):
+    long = [w for n in (512, 1024, 2048) for w in thue_morse(n)]
+    rows = []
+    for k, w in enumerate(long):
+        rows.append((2 * k, " ".join([*(f"p{k // 2}x{j}" for j in range(20)), w, *(f"q{k // 2}x{j}" for j in range(20))]), "en"))
+        rows.append((2 * k + 1, " ".join([*(f"s{k // 2}x{j}" for j in range(5)), w, *(f"t{k // 2}x{j}" for j in range(5))]), "en"))
+    x, y = thue_morse(64, "u ", "v ")  # the same pattern in words
+    rows += [(100, "e f g h " + x, "en"), (101, "i j k l " + y, "en")]
+    assert got(removal_counts(make_docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removal(rows)
+    assert got(jaccard_components(make_docs(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_a_group_whose_members_mostly_do_not_link(make_docs):
+    import random
+
+    random.seed(5)
+    base, rows = [f"b{k}" for k in range(100)], []
+    for i in range(120):  # 0 to 9 changed words of 100: some link with the base, some with few, some with none
+        w = list(base)
+        for k in random.sample(range(100), i % 10):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w), "en"))
+    rows += [(1000 + i, t + " tail of its own", "en") for i, t, _ in rows[::7]]
+    assert got(jaccard_components(make_docs(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_removal_of_copies_in_one_and_several_tasks(make_docs):
+    text = " ".join(f"c{k}" for k in range(50))
+    for n in (1, 2, 3, 7):
+        rows = [(k, text, "en") for k in range(n)] + [(90, " ".join(f"c{k}" for k in range(16, 70)), "en")]
+        assert got(removal_counts(make_docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removal(rows)
