@@ -3,9 +3,12 @@
 Method: a text is cut by the tokenizer's pattern into words; a task's words that it has not met yet go to
 DuckDB as lists of byte tokens. A recursive query unnests the words into token-position rows, joins
 neighbouring tokens with the merge table, takes each word's leftmost pair of least rank, contracts it, and
-goes on until no word has a pair left. Words over LONG bytes (one in millions) contract all places of the
-least pair in one step, not overlapping and from the left, which is the same for a vocabulary made by
-merges. Decoding joins the ids with the vocabulary and aggregates the bytes in order.
+goes on until no word has a pair left. A word of n bytes takes n steps over n rows at worst, so that words of
+over LONG bytes contract several places of the least pair in one step: from the left, those that do not overlap,
+which are the ones that one step after the other would take, as long as the merged token is ``steady``: it is part
+of no token of lesser rank, so that no contraction makes a pair that would come before the others. Of other tokens
+the leftmost place alone is contracted, so that the result is the same whatever the vocabulary.
+Decoding joins the ids with the vocabulary and aggregates the bytes in order.
 
 The merge table has a row (left, right, merged) for every way to cut a token of the vocabulary into two
 tokens of it; a token's id is its rank. It is broadcast: its size is the vocabulary's, not the data's.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import Kept, table
 
 LONG = 256
 #: Entries of a worker's cache of words, and of its cache of segments; each is emptied beyond that.
@@ -40,7 +43,7 @@ WITH RECURSIVE steps(w, step, ids) AS (
   UNION ALL
   SELECT s.w, s.step + 1, s.ids[:b.pos - 1] || [b.merged] || s.ids[b.pos + 2:]
   FROM steps s JOIN (
-    SELECT w, min(m.merged * 65536::BIGINT + p.pos) & 65535 AS pos, CAST(min(m.merged * 65536::BIGINT + p.pos) >> 16 AS INTEGER) AS merged
+    SELECT w, min(m.merged * 4294967296::BIGINT + p.pos) & 4294967295 AS pos, CAST(min(m.merged * 4294967296::BIGINT + p.pos) >> 32 AS INTEGER) AS merged
     FROM (SELECT w, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids))) AS pos FROM steps) p
     JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY w
   ) b ON s.w = b.w
@@ -53,10 +56,9 @@ WITH RECURSIVE steps(w, step, ids) AS (
   SELECT w, 0, ids FROM words
   UNION ALL
   (WITH p AS (SELECT w, step, unnest(ids) AS l, unnest(ids[2:] || [NULL]) AS r, unnest(range(1, len(ids) + 1)) AS pos FROM steps),
-  j AS (SELECT p.w, p.pos, p.l, p.r, m.merged, min(m.merged) OVER (PARTITION BY p.w) AS least FROM p JOIN merges m ON m.l = p.l AND m.r = p.r),
-  f AS (SELECT w, pos, merged, pos - row_number() OVER (PARTITION BY w, l, r ORDER BY pos) AS run, l, r FROM j WHERE merged = least),
-  one AS (SELECT w, pos, merged, l, r FROM f QUALIFY row_number() OVER (PARTITION BY w, l, r, run ORDER BY pos) % 2 = 1 OR l <> r),
-  k AS (SELECT * FROM one WHERE (l, r) = (SELECT (o.l, o.r) FROM one o WHERE o.w = one.w ORDER BY o.pos LIMIT 1))
+  j AS (SELECT p.w, p.pos, m.merged, m.steady, min(m.merged) OVER (PARTITION BY p.w) AS least FROM p JOIN merges m ON m.l = p.l AND m.r = p.r),
+  f AS (SELECT w, pos, merged, steady, row_number() OVER (PARTITION BY w ORDER BY pos) AS number FROM j WHERE merged = least),
+  k AS (SELECT w, pos, merged FROM f QUALIFY number = 1 OR steady AND row_number() OVER (PARTITION BY w, pos - number ORDER BY pos) % 2 = 1)
   SELECT p.w, any_value(p.step) + 1, list(coalesce(k.merged, p.l) ORDER BY p.pos)
   FROM p LEFT JOIN k ON p.w = k.w AND p.pos = k.pos LEFT JOIN k AS before ON p.w = before.w AND p.pos = before.pos + 1
   WHERE before.w IS NULL AND p.w IN (SELECT w FROM k) GROUP BY p.w)
@@ -91,7 +93,9 @@ class Coder:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
-        given = pa.table({"l": left, "r": right, "merged": merged})  # noqa: F841  DuckDB reads it by name
+        early = {part for *parts, r in rows for part in parts if r < part}
+        steady = pa.array([r not in early for *_, r in rows])
+        given = pa.table({"l": left, "r": right, "merged": merged, "steady": steady})  # noqa: F841  DuckDB reads it by name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         named = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM named")
@@ -152,15 +156,9 @@ class Coder:
         return out
 
 
-_loaded: dict[tuple, Coder] = {}
-
-
 def coder(ranks: dict[bytes, int], pattern: str) -> Coder:
-    key = (len(ranks), hash(frozenset(list(ranks.items())[:100])), pattern)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Coder(ranks, pattern)
-    return _loaded[key]
+    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
+    return Kept.get("bpe", key, lambda: Coder(ranks, pattern))  # type: ignore[return-value]
 
 
 FIELDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

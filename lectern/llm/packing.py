@@ -9,7 +9,8 @@ Packing needs no shuffle: a task packs what it has tokenised, in groups of GROUP
 bounded by the group and the longest single text). In a group of T tokens, T // 2048 sequences have
 2048 tokens and one more each power of two in T % 2048, so that no sequence needs any padding.
 
-Defined results: a null or empty text is the end-of-document id alone. Null or repeated ids are kept: every
+Defined results: a null or empty text is the end-of-document id alone. The tokenizer's own added tokens, such as
+``<|endoftext|>``, are one id where a text spells them out, as the tokenizer has it. Null or repeated ids are kept: every
 row is a document. An empty table gives no rows. Other columns are never read. Sequence ids are
 partition << 40 | number, unique over the table.
 """
@@ -28,20 +29,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import Kept, table
 
 CAPACITY, END_ID = 2048, 1
 GROUP_TOKENS = 4_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Entries of a worker's cache of words; it is emptied beyond that.
-CACHE = 1_000_000
+#: Entries of each generation of a worker's two caches (of chunks, of words); there are two generations.
+CACHE = 150_000
 
 #: Chunks of these characters are cut as the tokenizer's own pattern cuts them, and lower-cased alike.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 #: White space of Python, of which the tokenizer itself decides.
 _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_loaded: dict[str, object] = {}
+
+
+class Recent(dict):
+    """The entries of this generation; those of the one before are taken over when they are met again."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.before = most, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Which of the keys are in neither generation; the others are in this one from now on."""
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        old = new.intersection(self.before)
+        self.update(zip(old, map(self.before.__getitem__, old), strict=True))
+        return new - old
 
 
 class Ids:
@@ -54,20 +71,18 @@ class Ids:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
+        own = self.tokenizer.get_added_tokens_decoder().values()
+        #: Texts that spell out a token of the tokenizer's own go to it as they are.
+        self.added = re.compile("|".join(re.escape(t.content) for t in own) or r"(?!)", re.IGNORECASE if any(t.normalized for t in own) else 0)
         self.type = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
         self.code = np.dtype(self.type).char
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(CACHE), Recent(CACHE)
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.chunks) > CACHE:
-            self.chunks = {}
-        if len(self.words) > CACHE:
-            self.words = {}
-        new = set().union(*texts).difference(self.chunks)
+        new = self.chunks.missing(set().union(*texts))
         cut = {c: _PIECES.findall(c.lower()) if _PLAIN.fullmatch(c) else [c] for c in new}
-        words = list({w for x in cut.values() for w in x}.difference(self.words))
+        wanted = {w for x in cut.values() for w in x}
+        words = list(self.words.missing(wanted))
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.words[w] = array(self.code, e.ids).tobytes()
         get = self.words.__getitem__
@@ -75,17 +90,15 @@ class Ids:
             self.chunks[c] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [re.split(r"[ \t\n\r]+", t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
+        whole = {k for k, t in enumerate(texts) if self.added.search(t)}
+        cut = [[] if k in whole else re.split(r"[ \t\n\r]+", t) if _OTHER_SPACE.search(t) else t.split() for k, t in enumerate(texts)]
         self.learn(cut)
         get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), self.type) for c in cut]
+        return [np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.type) if k in whole else np.frombuffer(b"".join(map(get, c)), self.type) for k, c in enumerate(cut)]
 
 
 def encoder(source: str) -> Ids:
-    if source not in _loaded:
-        _loaded.clear()
-        _loaded[source] = Ids(source)
-    return _loaded[source]  # type: ignore[return-value]
+    return Kept.get("packing", source, lambda: Ids(source))  # type: ignore[return-value]
 
 
 def cost(length: int) -> float:

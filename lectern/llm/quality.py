@@ -1,21 +1,21 @@
 """Quality classifier from weak labels: labelling rules, their accuracies by EM, a hashed linear scorer.
 
 1. Labellers. LABELLERS are overlapping heuristics on counts of a whole text; each votes good, bad or
-   abstains.
+   abstains. Each share is drawn towards a value on which its labeller abstains, as if PRIOR more words had been
+   seen that say nothing: the fewer the words, the more they must say, at every size by the same formula.
 2. Label model. Votes are counted per vote pattern over all documents (at most 3**len(LABELLERS) patterns,
    whatever the number of documents). Expectation-maximisation with two classes and independent
    labellers estimates each labeller's accuracy and how often it abstains, and the share of good
    documents; each pattern gets a posterior.
 3. Scorer. Words are reduced to shapes, shapes and pairs of shapes are hashed into DIMENSIONS buckets, and
    a logistic regression on the square roots of their shares is trained on the posteriors of at most
-   SAMPLE documents (those of the least hash of their id and text). It judges every document; a document
-   is rejected when its score is under CUT. Texts of under MIN_WORDS words have hardly any features: they
-   are rejected only where the label model says bad too.
+   SAMPLE documents (those of the least hash of their id and text). The scorer alone judges every document; a
+   document is rejected when its score is under CUT.
 
 Gold labels are never read.
 
 Defined results: null, empty and blank texts have nothing to judge and are rejected with score 0 and
-posterior 0. Every row gives a row; null and repeated ids are kept. Other columns are never read. An empty
+posterior 0. A very long text is counted whole, by one worker. Every row gives a row; null and repeated ids are kept. Other columns are never read. An empty
 table gives no rows; where there is nothing to learn from, the scorer says 0.5 and keeps.
 """
 
@@ -30,56 +30,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, table
+from lectern.llm.common import Kept, map_arrow, table
 
-DIMENSIONS, SAMPLE, CUT = 4096, 4000, 0.5
-#: (name, statistic, bad from, good up to): votes bad at or over the first, good at or under the second.
+#: The cut is under one half: a document in doubt stays.
+DIMENSIONS, SAMPLE, CUT = 4096, 4000, 0.35
+#: (name, statistic, bad from, good up to, neutral): votes bad at or over the first, good at or under the second;
+#: without any words a share is the third.
 LABELLERS = (
-    ("symbols", "symbol_share", 0.08, 0.045),
-    ("odd_words", "odd_share", 0.3, -1),
-    ("capitals", "upper_share", 0.3, -1),
-    ("long_words", "long_share", 0.5, -1),
-    ("few_function_words", "few_short", 0.85, 0.7),
-    ("repeated_words", "repeat_share", 0.2, -1),
-    ("runs_of_a_word", "longest_run", 4, -1),
-    ("little_variety", "sameness", 0.55, -1),
-    ("one_word_rules", "top_share", 0.3, -1),
+    ("symbols", "symbol_share", 0.08, 0.045, 0.02),
+    ("odd_words", "odd_share", 0.3, -1, 0.1),
+    ("capitals", "upper_share", 0.3, -1, 0.1),
+    ("long_words", "long_share", 0.5, -1, 0.25),
+    ("few_function_words", "few_short", 0.85, 0.7, 0.5),
+    ("repeated_words", "repeat_share", 0.2, -1, 0.05),
+    ("runs_of_a_word", "longest_run", 4, -1, 0),
+    ("little_variety", "sameness", 0.55, -1, 0.2),
+    ("one_word_rules", "top_share", 0.3, -1, 0.1),
 )
-MIN_WORDS, CHUNK = 8, 64
+#: Words (of LETTERS letters) that say nothing; words that are counted for variety together.
+PRIOR, LETTERS, CHUNK = 6, 5, 64
 _ODD_ENDS = ("$", "%", "&", "#", "*", "|", "!!")
 # Classes of bytes: ASCII capitals, letters (a lead byte of a longer sequence counts as one), symbols.
 _UPPER, _LETTER, _SYMBOL = (np.array([f(b) for b in range(256)], np.int64) for f in (lambda b: 65 <= b <= 90, lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC0, lambda b: 33 <= b < 127 and not chr(b).isalnum()))
+_NEUTRAL = {k: x for _, k, _, _, x in LABELLERS}
 
 
 def statistics(text: str, words: list[str]) -> dict[str, float]:
-    """Shares that the labellers judge; short texts leave most of them unknown (nan)."""
-    n, nan = len(words), float("nan")
-    few = n < MIN_WORDS
-    out = dict.fromkeys((k for _, k, _, _ in LABELLERS), nan)
-    out["odd_share"] = sum(map(lambda w: w.endswith(_ODD_ENDS), words)) / n if n > 1 else nan
-    if few:
-        return out
+    """The shares that the labellers judge, of a text with words."""
+    n = len(words)
     counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     letters, symbols = int(counts @ _LETTER), int(counts @ _SYMBOL)
-    out["symbol_share"] = symbols / max(1, letters + symbols)
-    out["upper_share"] = int(counts @ _UPPER) / max(1, letters)
     size = np.fromiter(map(len, words), np.int64, n)
     same = np.fromiter(map(str.__eq__, words, words[1:]), bool, n - 1)
     breaks = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
-    chunks = [words[k : k + CHUNK] for k in range(0, n, CHUNK)]
-    out |= {"long_share": float((size > 7).mean()), "repeat_share": float(same.mean()), "longest_run": int(np.diff(breaks).max()), "sameness": 1 - sum(len(set(c)) for c in chunks) / n}
-    if n >= 20:
-        out |= {"few_short": 1 - float((size <= 3).mean()), "top_share": max(Counter(words).values()) / n}
-    return out
-
-
-def votes(text: str) -> str:
+    distinct = sum(len(set(words[k : k + CHUNK])) for k in range(0, n, CHUNK))
+    found = {
+        "symbol_share": (symbols, letters + symbols, LETTERS),
+        "odd_share": (sum(w.endswith(_ODD_ENDS) for w in words), n, 1),
+        "upper_share": (int(counts @ _UPPER), letters, LETTERS),
+        "long_share": (int((size > 7).sum()), n, 1),
+        "few_short": (n - int((size <= 3).sum()), n, 1),
+        "repeat_share": (int(same.sum()), n - 1, 1),
+        "sameness": (n - distinct, n, 1),
+        "top_share": (max(Counter(words).values()), n, 1),
+    }
+    out = {k: (x + PRIOR * each * _NEUTRAL[k]) / (of + PRIOR * each) for k, (x, of, each) in found.items()}
+    return out | {"longest_run": int(np.diff(breaks).max())}
+
+
+def votes(text: str, words: list[str] | None = None) -> str:
     """One letter for each labeller: g, b or -."""
-    words = text.split()
+    words = text.split() if words is None else words
     if not words:
         return "-" * len(LABELLERS)
     s = statistics(text, words)
-    return "".join("b" if s[k] >= bad else "g" if s[k] <= good else "-" for _, k, bad, good in LABELLERS)
+    return "".join("b" if s[k] >= bad else "g" if s[k] <= good else "-" for _, k, bad, good, _ in LABELLERS)
 
 
 class LabelModel:
@@ -122,7 +127,8 @@ class LabelModel:
         return out
 
 
-_shapes: dict[str, int] = {}
+#: Shapes of words that a worker keeps; they are dropped beyond that. Longer words are not worth keeping.
+SHAPES, LONG_WORD = 200_000, 64
 
 
 def _shape(word: str) -> int:
@@ -135,18 +141,19 @@ def _shape(word: str) -> int:
     return zlib.crc32(f"{size}{''.join(runs)}".encode())
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, words: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a whole text: buckets and values."""
-    words = text.split()
+    words = text.split() if words is None else words
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    if len(_shapes) > 500_000:
-        _shapes.clear()
-    for w in set(words):
-        if w not in _shapes:
-            _shapes[w] = _shape(w)
-    shape = np.fromiter((_shapes[w] for w in words), np.uint64, len(words))
-    same = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), np.uint64, len(words) - 1)
+    known: dict[str, int] = Kept.get("quality", "shapes", dict)
+    if len(known) > SHAPES:
+        known.clear()
+    new = {w: _shape(w) for w in set(words).difference(known)}
+    known.update((w, x) for w, x in new.items() if len(w) <= LONG_WORD)
+    get = (new | known if any(len(w) > LONG_WORD for w in new) else known).__getitem__
+    shape = np.fromiter(map(get, words), np.uint64, len(words))
+    same = np.fromiter(map(str.__eq__, words, words[1:]), np.uint64, len(words) - 1)
     pair = (shape[:-1] * np.uint64(0x9E3779B97F4A7C15) + shape[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + same * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)
     repeated = np.full(int(same.sum()), 7, np.uint64)
     bucket = (np.concatenate([shape, pair, repeated]) % np.uint64(DIMENSIONS)).astype(np.int64)
@@ -178,8 +185,8 @@ class Scorer:
             self.weights -= rate * slope / np.sqrt(speed)
             self.bias -= rate * error.sum() / np.sqrt(speed0)
 
-    def score(self, text: str) -> float:
-        at, value = features(text)
+    def score(self, text: str, words: list[str] | None = None) -> float:
+        at, value = features(text, words)
         if not len(at):
             return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ value + self.bias, -30, 30))))
@@ -225,12 +232,13 @@ def judge(docs: DataFrame, model: LabelModel, scorer: Scorer, keep: list[str], c
         posteriors: dict[str, float] = {}
         for batch in batches:
             text = [t or "" for t in batch.column("q_text").to_pylist()]
-            score = [line.score(t) for t in text]
-            seen = [votes(t) for t in text]
+            words = [t.split() for t in text]
+            score = [line.score(t, w) for t, w in zip(text, words, strict=True)]
+            seen = [votes(t, w) for t, w in zip(text, words, strict=True)]
             for v in set(seen).difference(posteriors):
                 posteriors[v] = label.posterior(v)
-            blank = [not t.split() for t in text]
-            kept_ = [not b and (s >= cut or len(t.split(None, MIN_WORDS)) < MIN_WORDS and posteriors[v] >= 0.5) for s, v, b, t in zip(score, seen, blank, text, strict=True)]
+            blank = [not w for w in words]
+            kept_ = [not b and s >= cut for s, b in zip(score, blank, strict=True)]
             columns = [*(batch.column(k) for k in range(len(keep))), pa.array([0.0 if b else posteriors[v] for v, b in zip(seen, blank, strict=True)], pa.float64()), pa.array(score, pa.float64()), pa.array(kept_, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(keep)], "posterior", "score", "keep"])
 
