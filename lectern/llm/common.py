@@ -48,9 +48,13 @@ def releasing(spark: SparkSession) -> Iterator[None]:
 
 
 def gather(df: DataFrame) -> list:
-    """``collect`` of a bounded result; what was shuffled for it goes."""
+    """``collect`` of a bounded result; what was shuffled for it goes (which is settled when a frame is made)."""
     with releasing(df.sparkSession):
-        return df.collect()
+        return df.select("*").collect()
+
+
+def number(df: DataFrame) -> int:
+    return gather(df.agg(F.count(F.lit(1))))[0][0]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -219,9 +223,9 @@ def bitmap(df: DataFrame, long_col: str, bits: int) -> np.ndarray:
     Its size does not depend on the data. A set bit may stand for several values, so that
     it only ever lets more through."""
     cell = F.pmod(F.col(long_col), F.lit(1 << bits))
-    rows = df.select(cell.alias("cell")).groupBy(F.expr("bitmap_bucket_number(cell)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("m")).collect()
+    rows = df.select(cell.alias("cell")).groupBy(F.expr("bitmap_bucket_number(cell)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("m"))
     out = np.zeros(max(1 << (bits - 3), 4096) + 4096, np.uint8)
-    for b, m in rows:  # bucket 1 holds values 1..32768, and bucket 0 holds 0
+    for b, m in gather(rows):  # bucket 1 holds values 1..32768, and bucket 0 holds 0
         at = (int(b) - 1) * 4096
         if at < 0:
             at = len(out) - 4096

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, materialise
+from lectern.llm.common import discard, gather, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     for k in range(most_rounds):
         before, edges = edges, materialise(_small_star(_large_star(edges)), f"star{k}")
         discard(before)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = tuple(gather(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))))[0])
         if now == sign:
             break
         sign = now

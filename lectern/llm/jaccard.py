@@ -18,8 +18,8 @@ is one shingle). Documents link when 100 * intersection >= 75 * union.
    n-gram with one hub of theirs, which is linear in the holders. The hub is the holder with the fewest n-grams
    of its own: what its copies have changed, it has not, so that a copy that links with any of the group
    most often links with it. The links found make components. Later
-   rounds take other hubs, twice as many each time (64 at most), only where an n-gram's holders still are of
-   different components. When that gains little more, all remaining pairs of different components that can still link by their places in
+   rounds take other hubs, HUBS times as many each time (64 in the last), only where an n-gram's holders still are of
+   different components. When a round finds no link any more, all remaining pairs of different components that can still link by their places in
    the global order (and only these) are counted, so that the components are exact whatever the hubs were.
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are their own component. A
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, Dealer, bitmap, bits_for, discard, gather, gathered, grouped, in_bitmap, leading, materialise, mix, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
+from lectern.llm.common import U64, Dealer, bitmap, bits_for, discard, gather, gathered, grouped, in_bitmap, leading, materialise, mix, number, parts_for, pieces, rolling, slice_of, table, texts, whole, word_hashes
 from lectern.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -45,9 +45,9 @@ FRAGMENTS = 4
 #: Frequency classes: an n-gram with at least so many holders is of the class; and how many bits fewer, in powers
 #: of two, its bitmap has (fewer n-grams are that frequent).
 CLASSES = ((2, 0), (8, 2), (64, 2), (1024, 2))
-#: Hub rounds go on while pairs that share an n-gram and are of different components are over RESIDUE times the
-#: holders, and at least GAIN of the pairs of the round before did link (those that are just not alike never do).
-RESIDUE, GAIN, ROUNDS = 0.5, 0.1, 6
+#: Hub rounds (1, HUBS, HUBS ** 2 ... hubs an n-gram) go on while they find links, and while pairs that share an n-gram
+#: and are of different components are over RESIDUE times the holders.
+RESIDUE, HUBS, ROUNDS = 0.5, 4, 4
 
 
 def shingle_sets(some: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -201,26 +201,26 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         return None
     segs = segments(docs, width, active).join(keys, ["c1", "c2"]).select("cls", "fragment", "tokens")
     segs, shared, held = materialise(segs, "segments"), held, held.drop("c1", "c2")
-    total = held.count()
-    links, labels, gain = None, None, 1.0
+    total = number(held)
+    links, labels, new = None, None, 1
     for round_ in range(ROUNDS + 1):
         now = held.withColumn("label", F.col("cls")) if labels is None else materialise(held.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), f"labelled{round_}")
         per = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         per = per.groupBy("token").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max_by("label", "m").alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        left = per.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0]
+        left = gather(per.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)))[0][0]
         if not left:
             break
-        last = left <= RESIDUE * total or gain < GAIN or round_ == ROUNDS
+        last = left <= RESIDUE * total or not new or round_ == ROUNDS
         mixed = now.join(per.select("token", "most"), "token")
         if last:
             pairs = _pairs(mixed.filter("label != most"), now, percent)
         else:
-            slot = F.pmod(F.xxhash64("cls", "token", F.lit(round_)), F.lit(1 << round_)).alias("slot")  # twice the hubs in each round
+            slot = F.pmod(F.xxhash64("cls", "token", F.lit(round_)), F.lit(HUBS**round_)).alias("slot")
             hub = mixed.groupBy("token", slot).agg(F.min_by(F.struct("cls", "n", "rest", "label"), F.struct("alone", -F.col("n"), "cls")).alias("hub")).select("token", "hub.*")
             pairs = _pairs(mixed, hub, percent)
         pairs = materialise(pairs, f"pairs{round_}")
         found = materialise(counted(pairs, segs, percent), f"links{round_}")
-        gain = found.count() / max(1, pairs.count())
+        new = number(found)
         discard(pairs, now if labels is not None else None)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
