@@ -42,17 +42,26 @@ def single_hits(lines: DataFrame, keys: DataFrame, part: list[str]) -> DataFrame
     return lines.select(*part, "line_no", F.col("compact").alias("key")).join(keys, [*own, "key"])
 
 
-def pair_hits(lines: DataFrame, keys: DataFrame, part: list[str], slack: int = WINDOW_SLACK) -> DataFrame:
-    """Two lines in a row that together end with a key: start_line and hit_line (the last of the two).
+def _ends(rows: DataFrame, merged: str, keys: DataFrame, part: list[str], slack: int) -> DataFrame:
+    """``rows`` with the key that ends ``merged``, at most ``slack`` characters shorter.
+
+    An equi-join on a hash of the end, not a nested loop: only ends as long as some key are made, and what is shuffled
+    for each is a number. The text is compared where the numbers agree."""
+    lengths = keys.agg(F.collect_set(F.length("key")).alias("lengths"))  # one row of distinct lengths
+    n = F.length(merged)
+    cuts = F.filter("lengths", lambda k: (k <= n) & (k >= n - slack) & (k > 0))
+    cut = rows.join(F.broadcast(lengths)).withColumn("k", F.explode(cuts)).drop("lengths")
+    cut = cut.withColumn("end_hash", F.xxhash64(F.substring(F.col(merged), n - F.col("k") + 1, F.col("k"))))
+    own = [c for c in part if c in keys.columns]
+    hit = cut.join(keys.withColumn("end_hash", F.xxhash64("key")), [*own, "end_hash"])
+    return hit.filter(F.col(merged).endswith(F.col("key")) & (F.length("key") == F.col("k"))).drop("k", "end_hash")
+
 
-    Every end of the pair that may be a key is made a row, at most slack + 1 of them, so that this too is an
-    equi-join and not a nested loop."""
+def pair_hits(lines: DataFrame, keys: DataFrame, part: list[str], slack: int = WINDOW_SLACK) -> DataFrame:
+    """Two lines in a row that together end with a key: start_line and hit_line (the last of the two)."""
     w = Window.partitionBy(*part).orderBy("line_no")
     rows = lines.select(*part, F.col("line_no").alias("start_line"), F.concat("compact", F.lead("compact").over(w)).alias("merged"), F.lead("line_no").over(w).alias("hit_line")).filter("merged is not null and merged <> ''")
-    cut = F.sequence(F.lit(0), F.least(F.lit(slack), F.length("merged") - 1))
-    rows = rows.select(*part, "start_line", "hit_line", "merged", F.explode(cut).alias("k")).withColumn("key", F.substring(F.col("merged"), F.col("k") + 1, F.length("merged")))
-    own = [c for c in part if c in keys.columns]
-    return rows.join(keys, [*own, "key"]).drop("k", "merged").distinct()
+    return _ends(rows, "merged", keys, part, slack).drop("merged").distinct()
 
 
 def fold_hits(hits: DataFrame, part: list[str], entry: str, start: int = 0) -> DataFrame:
@@ -101,9 +110,7 @@ def propose_spans(lines: DataFrame, entries: DataFrame, bounds: DataFrame, part:
         return F.struct(m.alias("m"), a["n"].alias("n"), off.alias("off"), out.alias("out"))
 
     windows = body.withColumn("three", three).select(*part, "line_no", "stop", F.explode(F.aggregate(F.filter("three", lambda x: x.isNotNull()), state, join_line)["out"]).alias("o")).select(*part, "line_no", "stop", "o.m", "o.n")
-    cut = F.sequence(F.lit(0), F.least(F.lit(WINDOW_SLACK), F.length("m") - 1))
-    ends = windows.select(*part, "line_no", "n", "m", F.explode(cut).alias("k")).select(*part, "line_no", "n", F.substring(F.col("m"), F.col("k") + 1, F.length("m")).alias("key"))
-    together = ends.join(keys, [*part, "key"]).groupBy(*part, "ord").agg(F.array_sort(F.collect_set(F.struct(F.col("line_no").alias("s"), F.col("n").alias("h")))).alias("together"))
+    together = _ends(windows.filter("m <> ''").select(*part, "line_no", "n", "m"), "m", keys, part, WINDOW_SLACK).groupBy(*part, "ord").agg(F.array_sort(F.collect_set(F.struct(F.col("line_no").alias("s"), F.col("n").alias("h")))).alias("together"))
     empty = F.array().cast("array<struct<s:int,h:int>>")
     rows = wanted.select(*part, "ord", "keys").join(alone, [*part, "ord"], "left").join(together, [*part, "ord"], "left")
     rows = rows.select(*part, F.struct("ord", "keys", F.coalesce("alone", empty).alias("alone"), F.coalesce("together", empty).alias("together")).alias("r"))

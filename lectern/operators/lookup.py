@@ -7,33 +7,60 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import code_points, graphemes, keep_token, replace_template
+from lectern.functions.text import graphemes, keep_token, replace_template
 
 
 def token_sets(rows: DataFrame, tokens: Column, **kept: bool) -> DataFrame:
-    """Add tokens: distinct, kept by ``keep_token``, in order of code points."""
-    return rows.withColumn("tokens", F.array_sort(F.array_distinct(F.filter(tokens, lambda t: keep_token(t, **kept)))))
+    """Add tokens: distinct, kept by ``keep_token``, in order of code points. Repeats go before the patterns are tried."""
+    return rows.withColumn("tokens", F.array_sort(F.filter(F.array_distinct(tokens), lambda t: keep_token(t, **kept))))
+
+
+def chunk_words(rows: DataFrame, tokens: Column, **kept: bool) -> DataFrame:
+    """word, n: how many rows have a word that ``keep_token`` keeps. Words are counted first, then tested once each."""
+    each = rows.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return each.filter(keep_token(F.col("word"), **kept))
+
+
+def total_frequency(chunk_counts: DataFrame, word_rows: DataFrame, words: str = "words") -> DataFrame:
+    """word, freq: chunks that have the word (word, n), plus its occurrences in word rows."""
+    listed = word_rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    each = chunk_counts.unionByName(listed).select(F.trim("word").alias("word"), "n").filter("word <> ''")
+    return each.groupBy("word").agg(F.sum("n").alias("freq"))
 
 
 def word_frequency(chunk_tokens: DataFrame, word_rows: DataFrame, tokens: str = "tokens", words: str = "words") -> DataFrame:
     """word, freq: chunks that have the word, plus its occurrences in word rows."""
-    each = chunk_tokens.select(F.explode(tokens).alias("word")).unionByName(word_rows.select(F.explode(words).alias("word")))
-    return each.select(F.trim("word").alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    counted = chunk_tokens.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return total_frequency(counted, word_rows, words)
+
+
+def positions(entries: DataFrame, order: list[str], bucket: dict[str, Column] | None = None) -> DataFrame:
+    """Add pos, the place of an entry in the order of all parts, from 0, and total, the number of entries.
 
+    ``bucket`` are columns that never fall along the order, such as the book and a range of its entries. Buckets
+    are counted, the counts (a row a bucket) are summed up along the order, and entries are numbered in their
+    bucket, so that the whole table is never in one task and nothing runs before the plan does."""
+    bucket = bucket or {order[0]: F.col(order[0])}
+    names = [f"bucket_{k}" for k in range(len(bucket))]
+    rows = entries.withColumns(dict(zip(names, bucket.values(), strict=True)))
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("in_bucket"))
+    along = Window.orderBy(*names)
+    sums = counts.withColumn("before", F.sum("in_bucket").over(along) - F.col("in_bucket")).withColumn("total", F.sum("in_bucket").over(Window.partitionBy()))
+    own = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    numbered = rows.withColumn("own", own)
+    same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
+    joined = numbered.alias("a").join(sums.alias("b"), same)
+    return joined.select(*[F.col(f"a.{c}") for c in entries.columns], (F.col("a.own") - 1 + F.col("b.before")).alias("pos"), F.col("b.total").alias("total"))
 
-def positions(entries: DataFrame, order: list[str]) -> DataFrame:
-    """Add pos: the place of an entry in the order of all parts, from 0. Entries are a small dimension.
 
-    Numbers are given per range of the order and shifted by the counts of the ranges before, so that the
-    whole table never is in one task."""
-    spread = entries.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()).persist()
-    counts = {r["chunk"]: r["n"] for r in spread.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, offsets = 0, {}
-    for c in sorted(counts):
-        offsets[c], before = before, before + counts[c]
-    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map()
-    w = Window.partitionBy("chunk").orderBy(*order)
-    return spread.withColumn("pos", F.row_number().over(w) - 1 + (shift[F.col("chunk")] if offsets else F.lit(0))).drop("chunk")
+def between_places(rows: DataFrame, entries: DataFrame, order: list[str], a: Column, b: Column, bucket: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` whose ``order`` lies between the entries at the places ``a`` and ``b`` (from pos and total, in either order).
+
+    Only the two ends are looked up; rows are then compared with them where they are read, without a shuffle."""
+    at = positions(entries.select(*order), order, bucket).filter((F.col("pos") == a) | (F.col("pos") == b))
+    key = F.struct(*[F.col(c) for c in order])
+    ends = at.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    return rows.join(F.broadcast(ends), key.between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def in_range(pos: Column, a: Column, b: Column) -> Column:
@@ -46,27 +73,51 @@ def known_set(rows: DataFrame, items: Column, pos: Column, a: Column, b: Column)
     return rows.filter(in_range(pos, a, b)).select(F.explode(items).alias("item")).filter("item <> ''").distinct()
 
 
-def mark_known(text: Column, known: list[str], template: str, mode: str = "replace-known", is_marked: str = r"^\p{IsHan}$") -> Column:
-    """Each character of the marked kind that is known (or, in the other mode, unknown) becomes the template."""
-    wanted = F.array(*map(F.lit, sorted(known))) if known else F.array().cast("array<string>")
+def _characters(known: list[str], inner: str, mode: str) -> str:
+    """A pattern for one character of the marked kind that is known (or, in the other mode, unknown)."""
+    one = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({k for k in known if len(k) == 1}))
+    if mode == "replace-known":
+        return f"(?=[{one}]){inner}" if one else "(?!)"
+    return f"(?![{one}]){inner}" if one else inner
 
-    def one(c: Column) -> Column:
-        hit = F.array_contains(wanted, c) if mode == "replace-known" else ~F.array_contains(wanted, c)
-        return F.when(c.rlike(is_marked) & hit, replace_template(template, c)).otherwise(c)
 
-    return F.array_join(F.transform(code_points(text), one), "")
+def _inner(is_marked: str) -> str:
+    return "(?:" + is_marked.removeprefix("^").removesuffix("$") + ")"
 
 
-def mark_statistics(text: Column, known: list[str], mode: str = "replace-known", is_marked: str = r"^\p{IsHan}$") -> Column:
-    """(marked, replaced): how many characters are of the marked kind, and how many of these were replaced."""
-    wanted = F.array(*map(F.lit, sorted(known))) if known else F.array().cast("array<string>")
-    kind = F.filter(code_points(text), lambda c: c.rlike(is_marked))
-    hit = F.filter(kind, lambda c: F.array_contains(wanted, c) if mode == "replace-known" else ~F.array_contains(wanted, c))
-    return F.struct(F.size(kind).alias("marked"), F.size(hit).alias("replaced"))
+def _replacement(template: str) -> str:
+    """The template as a replacement of what was matched."""
+    quoted = template.replace("\\", "\\\\").replace("$", "\\$")
+    return quoted.replace("\\$1", "$0")
+
+
+def mark_known(text: Column, known: list[str], template: str, mode: str = "replace-known", is_marked: str = r"^\p{IsHan}$") -> Column:
+    """Each character of the marked kind that is known (or, in the other mode, unknown) becomes the template: one pass
+    of one pattern, whatever the number of known characters."""
+    return F.regexp_replace(text, _characters(known, _inner(is_marked), mode), _replacement(template))
+
+
+def mark_statistics(text: Column, known: list[str], mode: str = "replace-known", is_marked: str = r"^\p{IsHan}$", words: list[str] | None = None) -> Column:
+    """(marked, replaced): how many characters are of the marked kind, and how many of these were replaced. Those in a
+    matched word all count as replaced in replace-known, and none in replace-unknown."""
+    kind = _inner(is_marked)
+    hit = _characters(known, kind, mode)
+    marked = F.regexp_count(text, F.lit(kind))
+    order = longest_first(words or [])
+    if not order:
+        return F.struct(marked.alias("marked"), F.regexp_count(text, F.lit(hit)).alias("replaced"))
+    listed = "|".join(re.escape(w) for w in order)
+    rest = F.regexp_replace(text, f"(?:{listed})", "\u0000")  # what is left between the words, left to right
+    own = F.regexp_count(rest, F.lit(hit))
+    in_words = marked - F.regexp_count(rest, F.lit(kind)) if mode == "replace-known" else F.lit(0)
+    return F.struct(marked.alias("marked"), (own + in_words).alias("replaced"))
 
 
 def longest_first(words: list[str]) -> list[str]:
-    return sorted({w for w in words if w}, key=lambda w: (-len(w), w))
+    """Words by falling number of graphemes; words as long as each other never match at one place alike."""
+    import regex
+
+    return sorted({w for w in words if w}, key=lambda w: (-len(regex.findall(r"\X", w)), w))
 
 
 def mark_words(text: Column, words: list[str], known: list[str], template: str, mode: str = "replace-known", is_marked: str = r"^\p{IsHan}$") -> Column:
@@ -106,19 +157,36 @@ def bucket(pos: Column, end: Column) -> Column:
     return F.when(pos == end, "last").when((end - pos).isin(1, 2), "near").otherwise("other")
 
 
+def by_reading(word: str = "word", collation: str | None = "zh") -> Column:
+    """Words in the order of a collation, by default that of Chinese readings."""
+    return F.expr(f"{word} COLLATE {collation}") if collation else F.col(word)
+
+
+def ranked_words(words: DataFrame, freq: DataFrame, part: list[str], collation: str | None = "zh") -> DataFrame:
+    """``words`` (part, word) with freq and place: by falling frequency, then by the word. Rows, however many they are."""
+    rows = words.join(freq, "word", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    order = Window.partitionBy(*part).orderBy(F.desc("freq"), by_reading("word", collation))
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 def bucket_words(hits: DataFrame, freq: DataFrame, word: str = "token") -> DataFrame:
-    """bucket, words: each bucket's distinct words, by falling frequency, then by the word."""
+    """bucket, words: each bucket's distinct words, by falling frequency, then by the word, packed for a screen."""
     rows = hits.select("bucket", F.col(word).alias("word")).distinct().join(freq, "word", "left")
     packed = F.array_sort(F.collect_list(F.struct((-F.coalesce("freq", F.lit(0))).alias("f"), F.col("word"))))
     return rows.groupBy("bucket").agg(F.transform(packed, lambda x: x["word"]).alias("words"))
 
 
-def by_frequency(words: DataFrame, freq: DataFrame, word: str = "word") -> DataFrame:
+def by_frequency(words: DataFrame, freq: DataFrame, word: str = "word", collation: str | None = "zh") -> DataFrame:
     """Words by falling frequency, ties in the collation of Chinese readings."""
-    return words.join(freq, word, "left").orderBy(F.desc(F.coalesce("freq", F.lit(0))), F.expr(f"{word} COLLATE zh"))
+    return words.join(freq, word, "left").orderBy(F.desc(F.coalesce("freq", F.lit(0))), by_reading(word, collation))
+
+
+def holders(wanted: DataFrame, rows: DataFrame, item: str, items: str, keep: list[str]) -> DataFrame:
+    """item, ``keep``: the rows that hold a wanted item, once each. The wanted ones are few: they go to the rows, so that
+    only hits are shuffled."""
+    return rows.select(*keep, F.explode(F.array_distinct(F.col(items))).alias(item)).join(wanted.select(item).distinct(), item)
 
 
 def look_up(wanted: DataFrame, rows: DataFrame, item: str, items: str, keep: list[str]) -> DataFrame:
     """Each wanted item with the rows that hold it (once each); items that nothing holds keep a row of nulls."""
-    index = rows.select(*keep, F.explode(F.array_distinct(F.col(items))).alias(item))
-    return wanted.join(index, item, "left").withColumn("found", F.col(keep[0]).isNotNull())
+    return wanted.join(holders(wanted, rows, item, items, keep), item, "left").withColumn("found", F.col(keep[0]).isNotNull())

@@ -94,16 +94,22 @@ def positional_align(rows: DataFrame, entries: DataFrame, anchor: Column, part:
     return numbered.join(entries.select(*keys, F.col(entry_no).alias("k"), *keep), [*keys, "k"], "left")
 
 
-def greedy_align(rows: DataFrame, entries: DataFrame, matches: Column, part: list[str], row_no: str, entry_no: str) -> DataFrame:
+def greedy_align(rows: DataFrame, entries: DataFrame, matches: Column | list[tuple[str, str]], part: list[str], row_no: str, entry_no: str) -> DataFrame:
     """Monotone matching: in order, each row takes the first entry after the cursor that it matches; a row
     without one leaves the cursor where it is. ``part``, row_no, entry_no (null: unmatched).
 
-    The theta join only yields, for each row, the numbers of the entries it could take; the fold over a part's
-    rows then handles integers only. Parts are books: small, and independent of each other."""
+    ``matches`` are pairs of columns that are equal (of the rows, of the entries), or any condition where the parts have
+    entries of their own. The join only yields, for each row, the numbers of the entries it could take; the fold over
+    a part's rows then handles integers only. Parts are books: small, and independent of each other."""
     keys = [c for c in part if c in entries.columns]
-    # Without a common key the entries are one fixed list for all parts, such as a contents template.
-    pairs = rows.join(entries, keys) if keys else rows.crossJoin(F.broadcast(entries))
-    found = pairs.filter(matches).groupBy(*part, row_no).agg(F.array_sort(F.collect_set(F.col(entry_no).cast("int"))).alias("may"))
+    if isinstance(matches, list):
+        on = [rows[a] == entries[b] for a, b in matches] + [rows[c] == entries[c] for c in keys]
+        pairs = rows.join(entries, on).select(*[rows[c] for c in (*part, row_no)], entries[entry_no])
+    elif keys:
+        pairs = rows.join(entries, keys).filter(matches)
+    else:
+        raise ValueError("entries without a part of their own are matched by equal columns")
+    found = pairs.groupBy(*part, row_no).agg(F.array_sort(F.collect_set(F.col(entry_no).cast("int"))).alias("may"))
     all_ = rows.select(*part, F.col(row_no)).join(found, [*part, row_no], "left")
     may = F.coalesce("may", F.array().cast("array<int>"))
     folded = all_.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col(row_no).alias("r"), may.alias("may")))).alias("rows"))

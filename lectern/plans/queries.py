@@ -210,7 +210,7 @@ SELECT event_id, taken AS entry_no FROM f""")
 def greedy_align(spark, d):
     entries = spark.createDataFrame([(k, kind) for k, kind in enumerate(_TEMPLATE)], "entry_no int, kind string")
     rows = _events(spark, d).select("user_id", "rn", "event_type", "event_id")
-    taken = sequences.greedy_align(rows, entries, F.col("event_type") == F.col("kind"), ["user_id"], "rn", "entry_no")
+    taken = sequences.greedy_align(rows, entries, [("event_type", "kind")], ["user_id"], "rn", "entry_no")
     return rows.join(taken, ["user_id", "rn"]).select("event_id", "entry_no")
 
 
@@ -334,7 +334,8 @@ _FREQ = f"freq AS (SELECT t AS word, count(*) AS freq FROM (SELECT unnest(list_d
 
 
 def _freq(spark, d):
-    return lookup.word_frequency(_sets(spark, d), _t(spark, d, "benchmark").select(_words(None).alias("words")))
+    counted = lookup.chunk_words(_t(spark, d, "documents"), _words(None), ascii_letters=False)
+    return lookup.total_frequency(counted, _t(spark, d, "benchmark").select(_words(None).alias("words")))
 
 
 @query(f"WITH {_FREQ} SELECT * FROM freq")
@@ -351,22 +352,29 @@ def top_words(spark, d):
 _POS = "pos AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM documents), ends AS (SELECT count(*) // 5 AS a, count(*) // 2 AS b FROM documents)"
 
 
+_ORDER, _A, _B = ["source", "doc_id"], F.floor(F.col("total") / 5), F.floor(F.col("total") / 2)
+
+
+def _bucket():
+    """Ranges of a source's documents that one task can number."""
+    return {"source": F.col("source"), "range": F.floor(F.col("doc_id") / 65536)}
+
+
 def _ranged(spark, d):
-    docs = lookup.positions(_t(spark, d, "documents").select("source", "doc_id"), ["source", "doc_id"])
-    n = docs.count()
-    return docs.join(_sets(spark, d).select("doc_id", "text", "tokens"), "doc_id"), F.lit(n // 5), F.lit(n // 2), n
+    """The documents of the range, found by its two ends."""
+    docs = _t(spark, d, "documents").select("source", "doc_id", "text")
+    return lookup.between_places(docs, docs, _ORDER, _A, _B, _bucket())
 
 
 @query(f"WITH {_POS} SELECT DISTINCT c AS item FROM (SELECT unnest(string_split(text, '')) AS c FROM pos, ends WHERE pos BETWEEN a AND b) WHERE regexp_full_match(c, '[\\p{{L}}]')")
 def known_set_range(spark, d):
-    rows, a, b, _ = _ranged(spark, d)
-    return lookup.known_set(rows, F.array_distinct(F.filter(text.code_points(F.col("text")), lambda c: c.rlike(r"^\p{L}$"))), F.col("pos"), b, a)
+    each = _ranged(spark, d).select(F.explode(F.array_distinct(text.code_points(F.col("text")))).alias("item")).distinct()
+    return each.filter(F.col("item").rlike(r"^\p{L}$"))
 
 
 @query(f"WITH {_POS} SELECT DISTINCT unnest({_KEPT}) AS item FROM pos, ends WHERE pos BETWEEN a AND b")
 def known_words_range(spark, d):
-    rows, a, b, _ = _ranged(spark, d)
-    return lookup.known_set(rows, F.col("tokens"), F.col("pos"), a, b)
+    return lookup.chunk_words(_ranged(spark, d), _words(None), ascii_letters=False).select(F.col("word").alias("item"))
 
 
 _VOWELS = ["a", "e", "i", "o", "u"]
@@ -404,10 +412,16 @@ def mark_statistics(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", lookup.mark_statistics(F.col("text"), _VOWELS, is_marked="^[A-Za-z]$").alias("s")).select("conv_id", "turn", "s.marked", "s.replaced")
 
 
+def _hits(rows, keys):
+    """Tokens that hold the needle, found before the patterns of ``keep_token`` are tried."""
+    found = lookup.token_hits(rows.select(*keys, _words(None).alias("tokens")), keys, "tokens", "ed")
+    return found.filter(text.keep_token(F.col("token"), ascii_letters=False))
+
+
 @query(f"WITH {_POS} SELECT doc_id, token FROM (SELECT doc_id, unnest(list_distinct({_KEPT})) AS token FROM pos, ends WHERE pos BETWEEN a AND b) WHERE contains(token, 'ed')")
 def chunk_token_hits(spark, d):
-    rows, a, b, _ = _ranged(spark, d)
-    return lookup.token_hits(rows, ["doc_id"], "tokens", "ed", lookup.in_range(F.col("pos"), a, b))
+    rows = _ranged(spark, d).filter(F.col("text").contains("ed"))
+    return _hits(rows, ["doc_id"])
 
 
 @query(f"SELECT item_id, token FROM (SELECT item_id, unnest(list_distinct({_WORDS})) AS token FROM benchmark) WHERE contains(token, 'ed')")
@@ -419,8 +433,9 @@ def table_hits(spark, d):
 @query(f"""WITH {_POS}, {_FREQ}, h AS (SELECT DISTINCT CASE WHEN b - pos = 0 THEN 'last' WHEN b - pos IN (1, 2) THEN 'near' ELSE 'other' END AS bucket, word FROM (SELECT pos, b, unnest({_KEPT}) AS word FROM pos, ends WHERE pos BETWEEN a AND b) WHERE contains(word, 'ed'))
 SELECT bucket, string_agg(word, ' ' ORDER BY coalesce(freq, 0) DESC, word) AS words FROM h LEFT JOIN freq USING (word) GROUP BY bucket""")
 def word_buckets(spark, d):
-    rows, a, b, _ = _ranged(spark, d)
-    hits = lookup.token_hits(rows, ["pos"], "tokens", "ed", lookup.in_range(F.col("pos"), a, b)).withColumn("bucket", lookup.bucket(F.col("pos"), b))
+    hits = _hits(_ranged(spark, d).filter(F.col("text").contains("ed")), ["doc_id"])
+    pos = lookup.positions(_t(spark, d, "documents").select("source", "doc_id"), _ORDER, _bucket())
+    hits = hits.join(pos, "doc_id").withColumn("bucket", lookup.bucket(F.col("pos"), _B))
     return lookup.bucket_words(hits, _freq(spark, d)).select("bucket", F.array_join("words", " ").alias("words"))
 
 
