@@ -87,7 +87,7 @@ def formation_hits(needle: str, books: DataFrame, toc: DataFrame, chunks: DataFr
     out = None
     for rows, items, source in parts:
         hits = rows.filter(F.exists(items, lambda t: t.contains(needle)))  # before anything is joined or exploded
-        found = F.array_distinct(F.filter(F.transform(items, F.trim), lambda t: t.contains(needle)))
+        found = F.array_distinct(F.filter(F.transform(items, lambda t: F.trim(t)), lambda t: t.contains(needle)))
         hits = within(hits.select("book", "toc_id", "row_no", found.alias("found")), place, span).withColumn("word", F.explode("found"))
         end_rank = F.struct(F.col("end_place"))
         hits = hits.select(F.lit(source).alias("source"), "word", "book", "row_no", "place", end_rank["end_place"].alias("end_place"))

@@ -490,3 +490,13 @@ def deep_merge_json(spark, d):
     own = F.map_filter(F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("v"), F.lit("overlay"), F.lit("t"), F.col("event_type")), lambda _, v: v.isNotNull())
     merged = chunks.overlay(base, own)
     return _t(spark, d, "events").select("event_id", merged["k"].alias("k"), merged["v"].alias("v"), merged["t"].alias("t"))
+
+
+def _register_screens() -> None:
+    from lectern.plans import screen_queries
+
+    QUERIES.update(screen_queries.QUERIES)
+    SQL.update(screen_queries.SQL)
+
+
+_register_screens()
