@@ -1,24 +1,31 @@
-"""Licence scan of whole texts, paragraph by paragraph, in DataFrame functions only.
-
-1. Lines with a cue word (a word that some template has and that names a licence or a right) are judged,
-   each by itself and in its wrapped paragraph. A line goes on in the next one unless it ends a sentence or
-   either has no words; of such a run, the lines from each one on that hold LONGEST more words (no
-   template has more) are one unit, so that a notice is whole in one of them however it is wrapped. Units
-   are described by their word 1- and 2-grams that are in the vocabulary, which is the templates'.
-2. A softmax regression on these sparse n-grams names the family or ``unknown``. It is trained from the
-   templates (whole, by sentence and by parts) and, for ``unknown``, from everyday sentences with cue words
-   and at most SAMPLE paragraphs of the corpus (of the least hash). Training reads only those rows; their
-   n-grams are counted by Spark.
-3. Calibration: a temperature that minimises the log loss over the training rows left out of each of two
-   halves, and a threshold that at most FALSE_RATE of the unknown rows pass.
+"""Licence scan of whole texts, line by line and paragraph by paragraph, in DataFrame functions only.
+
+1. Every line of every text is judged, each by itself and in its wrapped paragraph. A line goes on in the next one
+   unless it ends a sentence or either has no words; of such a run, the lines from each one on that hold LONGEST
+   more words (no template has more) are one unit, so that a notice is whole in one of them however it is
+   wrapped.
+2. A softmax regression on sparse word 1- and 2-grams names the family or ``unknown``. Its vocabulary is that of the
+   templates and everyday sentences. It is trained from the
+   templates (whole, by sentence and by parts) and, for ``unknown``, from everyday sentences
+   and at most SAMPLE lines of the corpus (of the least hash) that hold an n-gram without
+   which a first model names nothing, but that it calls unknown all the same.
+3. Calibration: templates and unknown rows are dealt into FOLDS folds, whole templates with all their parts, and judged
+   by models that have not seen their fold. From that come a temperature that minimises the log loss, and a
+   threshold that at most FALSE_RATE of the unknown rows pass.
 4. A prediction is confirmed by comparing the unit to the templates of its family: the share of a
    template's 2-grams that the unit has must reach CONFIRM. A line takes the result of the nearest confirmed
    unit that it is in (the one with the fewest lines where equally near), but of several lines only where none
    of them is confirmed by itself; without one, its own.
 
-Weights and templates are tables of a fixed size, broadcast. A result row is a line with a cue word.
+What cannot count is left out before n-grams are made, by two patterns that lose nothing. ``LicenceModel.needed``: from
+the trained weights, a set of n-grams without any of which no text, whatever it says, reaches a family; a line
+without them is unknown. ``distinctive``: of each template more 2-grams than the share that CONFIRM leaves open,
+the longest ones; a text without any of them has no unit that step 4 confirms, and units of several lines
+count only if confirmed. Weights and templates are tables of a fixed size, broadcast.
 
-Defined results: null and empty texts have no lines. Paragraph numbers are those of lines, count from 0 and
+Result rows are the lines with a family other than ``unknown``.
+
+Defined results: null and empty texts have no lines. A very long text is scanned whole. Paragraph numbers are those of lines, count from 0 and
 include blank lines. Null and repeated ids are kept: rows of equal ids are told apart by the hash of their text only, equal
 rows give equal results once each. Ties between families go to the smaller name. An empty table gives no
 rows. Other columns are never read.
@@ -35,20 +42,67 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
 
-SAMPLE, FALSE_RATE, CONFIRM = 500, 0.01, 0.6
+SAMPLE, FALSE_RATE, CONFIRM, FOLDS = 500, 0.01, 0.6, 4
 UNKNOWN = "unknown"
 
 #: Notices of licence families as they are commonly written.
 TEMPLATES = {
-    "all-rights-reserved": ("All rights reserved.", "Copyright (c) 2020 by the author. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
-    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Released under the Apache License 2.0."),
-    "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license."),
-    "cc": ("Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released into the public domain under CC0 1.0."),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Released under the GNU GPL, version 2 or later."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0."),
+    "all-rights-reserved": (
+        "All rights reserved.",
+        "Copyright (c) 2020 by the author. All rights reserved.",
+        "No part of this publication may be reproduced without the prior written permission of the publisher.",
+        "No part of this book may be reproduced or transmitted in any form or by any means without permission in writing.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
+    ),
+    "apache": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Released under the Apache License 2.0.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "SPDX-License-Identifier: Apache-2.0",
+        "This project is distributed under the terms of the Apache 2.0 license.",
+    ),
+    "bsd": (
+        "Released under the BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Use of this source code is governed by a BSD-style license.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Distributed under the 2-clause BSD license.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ),
+    "cc": (
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-NC 4.0.",
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Released into the public domain under CC0 1.0.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+    ),
+    "gpl": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "Released under the GNU GPL, version 2 or later.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "You should have received a copy of the GNU General Public License along with this program.",
+        "Distributed under the terms of the GNU Affero General Public License.",
+    ),
+    "mit": (
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "SPDX-License-Identifier: MIT",
+        "This software may be modified and distributed under the terms of the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "mpl": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Released under the Mozilla Public License 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, you can obtain one at http://mozilla.org/MPL/2.0/",
+    ),
 }
-#: Everyday sentences that have cue words and are no notices.
+#: Everyday sentences that share words with notices and are none.
 EVERYDAY = (
     "He showed the officer his driving license before he went on.",
     "The license fee for television was raised again this year.",
@@ -64,11 +118,18 @@ EVERYDAY = (
     "They released the new version of the program last week.",
     "The licensed guide led us through the old town.",
     "Without permission nobody may enter the building.",
+    "You can find this file in the folder with the other documents.",
+    "The notice was included in the list of all conditions.",
+    "She obtained a copy of the letter from the office.",
+    "The program is subject to change and the source is not known.",
+    "This form of the word is used in the south.",
+    "He was at the university and the institute of technology.",
+    "The general came in person to see the work of the foundation.",
+    "Any person may use the library, and there is no charge.",
+    "Version two of the map is available at the town hall.",
+    "The following week he was in London with a friend.",
 )
-#: The cue words.
-CUES = ("licence", "licences", "licensed", "license", "licenses", "copyright", "reserved", "permission", "redistribution", "gpl", "bsd", "cc0", "cc", "apache", "mozilla", "creative", "domain")
 _WORD = re.compile(r"[a-z0-9]+")
-_CUE = r"(^|[^a-z0-9])(" + "|".join(CUES) + r")($|[^a-z0-9])"
 #: A line that ends a sentence.
 _END = r"[.!?\u2026\u3002\uff01\uff1f][)\]\"'\u00bb\u201d\u2019]*\s*$"
 LONGEST = max(len(_WORD.findall(t.lower())) for ts in TEMPLATES.values() for t in ts)
@@ -85,61 +146,85 @@ def gram_column(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, paragraph, lines, words, covers, background of every unit with a cue word.
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+def pattern_of(some: list[str]) -> str:
+    """A pattern for a lower-cased text that holds one of these n-grams, by first letters."""
+    single = {g for g in some if " " not in g}
+    by_letter: dict[str, list[str]] = {}
+    for g in sorted(some):
+        if g in single or not single & set(g.split()):
+            by_letter.setdefault(g[0], []).append(g[1:].replace(" ", "[^a-z0-9]+"))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")(?![a-z0-9])"
+
+
+def distinctive() -> list[str]:
+    """Of each template its longest 2-grams, more than the share that a confirmed unit may lack."""
+    out: set[str] = set()
+    for *_, pairs in template_pairs():
+        out.update(sorted(pairs, key=lambda g: (-len(g), g))[: math.floor((1 - CONFIRM) * len(pairs) + 1e-9) + 1])
+    return sorted(out)
+
+
+def template_pairs() -> list[tuple[str, str, set[str]]]:
+    """Family, template and its 2-grams."""
+    return [(f, t, {g for g in grams(t) if " " in g}) for f, ts in TEMPLATES.items() for t in ts]
+
+
+def _rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).filter("text <> ''")
+
 
-    A unit is ``lines`` lines from line ``paragraph`` on; ``covers`` are those with a cue word. ``background``:
-    whether it may teach what is none of a licence (a line of its own, or the first of a run)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    rows = rows.filter(F.lower("text").rlike(_CUE)).distinct()
-    rows = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    words = F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)"), F.lit(1))
-    rows = rows.select("doc_id", "key", "paragraph", words.alias("words"), F.lower("line").rlike(_CUE).alias("cue"), (~F.col("line").rlike(_END)).alias("on"))
+def lines(rows: DataFrame, gate: str) -> DataFrame:
+    """doc_id, key, paragraph, lines, words, covers of every line with a match of the gate."""
+    rows = rows.filter(F.lower("text").rlike(gate)).select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    rows = rows.filter(F.lower("line").rlike(gate))
+    return rows.select("doc_id", "key", "paragraph", F.lit(1).alias("lines"), words_of(F.col("line")).alias("words"), F.array("paragraph").alias("covers"))
+
+
+def wrapped(rows: DataFrame) -> DataFrame:
+    """As ``lines``: every unit of several lines, of the texts that can have a confirmed one."""
+    texts = rows.filter(F.instr("text", "\n") > 0).filter(F.lower("text").rlike(pattern_of(distinctive()))).distinct()
+    split = texts.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    split = split.select("doc_id", "key", "paragraph", words_of(F.col("line")).alias("words"), (~F.col("line").rlike(_END)).alias("on"))
     text = Window.partitionBy("doc_id", "key").orderBy("paragraph")
     begins = (F.size("words") == 0) | ~F.lag(F.col("on") & (F.size("words") > 0), 1, False).over(text)
-    rows = rows.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(text.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("last", F.lead("begins", 1, True).over(text))
-    single = rows.filter("cue").select("doc_id", "key", "paragraph", F.lit(1).alias("lines"), "words", F.array("paragraph").alias("covers"), (F.col("begins") & F.col("last")).alias("background"))
+    split = split.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    split = split.withColumn("last", F.lead("begins", 1, True).over(text))
     # Every line of a run has a word, so that so many more lines are enough.
     ahead = Window.partitionBy("doc_id", "key", "run").orderBy("paragraph").rowsBetween(1, LONGEST)
-    runs = rows.filter("not (begins and last)").withColumn("next", F.collect_list(F.struct("paragraph", "words", "cue")).over(ahead)).filter("not last")
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<paragraph:int,words:array<string>,cue:boolean>>").alias("taken"))
+    runs = split.filter("not (begins and last)").withColumn("next", F.collect_list(F.struct("paragraph", "words")).over(ahead)).filter("not last")
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<paragraph:int,words:array<string>>>").alias("taken"))
     more = F.aggregate("next", start, lambda a, x: F.when(a["n"] >= LONGEST, a).otherwise(F.struct((a["n"] + F.size(x["words"])).alias("n"), F.concat(a["taken"], F.array(x)).alias("taken"))), lambda a: a["taken"])
-    runs = runs.select("doc_id", "key", "paragraph", "begins", F.concat(F.array(F.struct("paragraph", "words", "cue")), more).alias("unit"))
-    covers = F.transform(F.filter("unit", lambda x: x["cue"]), lambda x: x["paragraph"])
-    wrapped = runs.filter(F.exists("unit", lambda x: x["cue"])).select("doc_id", "key", "paragraph", F.size("unit").alias("lines"), F.flatten(F.transform("unit", lambda x: x["words"])).alias("words"), covers.alias("covers"), F.col("begins").alias("background"))
-    return single.unionByName(wrapped)
+    runs = runs.select("doc_id", "key", "paragraph", F.concat(F.array(F.struct("paragraph", "words")), more).alias("unit"))
+    return runs.select("doc_id", "key", "paragraph", F.size("unit").alias("lines"), F.flatten(F.transform("unit", lambda x: x["words"])).alias("words"), F.transform("unit", lambda x: x["paragraph"]).alias("covers"))
+
 
+def _matrix(sets: list[set[str]], vocabulary: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for k, s in enumerate(sets):
+        at = [vocabulary[g] for g in s if g in vocabulary]
+        x[k, at] = 1 / math.sqrt(max(1, len(at)))
+    return x
 
-def _fit(rows: list[tuple[set[str], int]], vocabulary: dict[str, int], classes: int, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+
+def _fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression by full-batch gradient steps with adapted rates; classes weigh alike."""
-    at = np.array([vocabulary[g] for s, _ in rows for g in s], int)
-    row = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
-    value = np.repeat([1 / math.sqrt(max(1, len(s))) for s, _ in rows], [len(s) for s, _ in rows])
-    y = np.array([c for _, c in rows])
     weight = 1 / np.bincount(y, minlength=classes).clip(1)[y]
-    weight /= weight.sum()
-    target = np.eye(classes)[y]
-    w, b = np.zeros((len(vocabulary), classes)), np.zeros(classes)
+    weight = (weight / weight.sum()).astype(np.float32)
+    target = np.eye(classes, dtype=np.float32)[y]
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
     speed_w, speed_b = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     for _ in range(steps):
-        p = _softmax(_logits(w, b, at, row, value, len(rows)))
-        e = (p - target) * weight[:, None]
-        dw = np.zeros_like(w)
-        np.add.at(dw, at, e[row] * value[:, None])
-        dw += 1e-4 * w
-        db = e.sum(axis=0)
+        e = (_softmax(x @ w + b) - target) * weight[:, None]
+        dw, db = x.T @ e + 1e-4 * w, e.sum(axis=0)
         speed_w += dw**2
         speed_b += db**2
         w -= 0.5 * dw / np.sqrt(speed_w)
         b -= 0.5 * db / np.sqrt(speed_b)
-    return w, b
-
-
-def _logits(w, b, at, row, value, n):
-    out = np.tile(b, (n, 1))
-    np.add.at(out, row, w[at] * value[:, None])
-    return out
+    return w.astype(float), b.astype(float)
 
 
 def _softmax(z):
@@ -148,64 +233,90 @@ def _softmax(z):
 
 
 class LicenceModel:
-    """Weights of n-grams for each family and ``unknown``, temperature and threshold."""
+    """Weights of n-grams for each family and ``unknown``, temperature and threshold; ``held_out`` has what the models
+    of the folds said of the rows that they had not seen: log loss, and shares right of notices and of others."""
 
     def __init__(self, background: list[set[str]]) -> None:
         self.families = sorted(TEMPLATES)
         self.classes = [*self.families, UNKNOWN]
-        rows: list[tuple[set[str], int]] = []
+        none = len(self.families)
+        rows: list[tuple[set[str], int, int]] = []  # n-grams, class, fold
         for k, family in enumerate(self.families):
-            for t in TEMPLATES[family]:
+            for j, t in enumerate(TEMPLATES[family]):
                 words = t.split()
                 parts = {t, *re.split(r"(?<=[.:;])\s+", t), *(" ".join(words[a:b]) for a, b in ((0, len(words) * 3 // 4), (len(words) // 4, len(words))))}
-                rows += [(grams(p), k) for p in sorted(parts) if grams(p)]
-        everyday = [(grams(t), len(self.families)) for t in EVERYDAY]
-        self.vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(s for s, _ in rows + everyday))))}
+                rows += [(grams(p), k, j % FOLDS) for p in sorted(parts) if grams(p)]
+        rows += [(grams(t), none, j % FOLDS) for j, t in enumerate(EVERYDAY)]
+        self.vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(s for s, *_ in rows))))}
         # Background that has a template's 2-grams nearly whole may be a notice itself and teaches nothing.
-        notices = [{g for g in grams(t) if " " in g} for ts in TEMPLATES.values() for t in ts]
+        notices = [p for *_, p in template_pairs()]
         plain = [s for s in background if not any(n and len(n & s) >= 0.5 * len(n) for n in notices)]
-        rows += everyday + [(s & self.vocabulary.keys(), len(self.families)) for s in plain]
-        halves = [rows[0::2], rows[1::2]]
-        held = []
-        for k in (0, 1):
-            w, b = _fit(halves[1 - k], self.vocabulary, len(self.classes))
-            held += [(self._raw(w, b, s), c) for s, c in halves[k]]
-        z, y = np.array([x for x, _ in held]), np.array([c for _, c in held])
-        losses = [(-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean(), t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)]
-        self.temperature = min(losses)[1]
-        self.weights, self.bias = _fit(rows, self.vocabulary, len(self.classes))
-        own = np.array([self._raw(self.weights, self.bias, s) for s, c in rows if c == len(self.families)])
-        passing = np.sort(1 - _softmax(own / self.temperature)[:, -1])
+        rows += [(s & self.vocabulary.keys(), none, j % FOLDS) for j, s in enumerate(plain)]
+        x, y, fold = _matrix([s for s, *_ in rows], self.vocabulary), np.array([c for _, c, _ in rows]), np.array([f for *_, f in rows])
+        z = np.zeros((len(rows), none + 1))
+        for f in range(FOLDS):
+            w, b = _fit(x[fold != f], y[fold != f], none + 1)
+            z[fold == f] = x[fold == f] @ w + b
+        # Classes weigh alike, as in training.
+        weight = 1 / np.bincount(y, minlength=none + 1).clip(1)[y]
+        loss, self.temperature = min((float(-(weight * np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12)).sum() / weight.sum()), t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0))
+        p = _softmax(z / self.temperature)
+        passing = np.sort(1 - p[y == none, -1])
         self.threshold = float(max(0.5, passing[int((1 - FALSE_RATE) * (len(passing) - 1))]))
-
-    def _raw(self, w: np.ndarray, b: np.ndarray, s: set[str]) -> np.ndarray:
-        at = [self.vocabulary[g] for g in s if g in self.vocabulary]
-        return b + w[at].sum(axis=0) / math.sqrt(max(1, len(at)))
+        named = np.where((1 - p[:, -1] >= self.threshold) & (p[:, :-1].max(axis=1) > p[:, -1]), p[:, :-1].argmax(axis=1), none)
+        self.held_out = {"log_loss": loss, "notices": float((named == y)[y < none].mean()), "others": float((named == y)[y == none].mean())}
+        self.weights, self.bias = _fit(x, y, none + 1)
+
+    def needed(self) -> list[str]:
+        """N-grams without any of which no set of n-grams is named: the fewest, by their best weight, for which the rest
+        cannot bring any family over ``unknown``. With m known n-grams a family gains the sum of its weights over
+        ``unknown`` by the root of m, at most the best such share of the largest weights that are left."""
+        gain = self.weights[:, :-1] - self.weights[:, -1:]
+        ahead = self.bias[:-1] - self.bias[-1]
+        order = np.argsort(-gain.max(axis=1), kind="stable")
+        root = np.sqrt(np.arange(1, len(order) + 1))
+
+        def most(taken: int) -> float:
+            rest = -np.sort(-gain[order[taken:]], axis=0)
+            return float((ahead + np.maximum(0, (np.cumsum(rest, axis=0) / root[: len(rest), None]).max(axis=0, initial=0))).max())
+
+        low, high = 0, len(order)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if most(mid) < 0 else (mid + 1, high)
+        name = sorted(self.vocabulary, key=self.vocabulary.__getitem__)
+        return [name[i] for i in order[:low]]
 
     def predict(self, s: set[str]) -> tuple[str, float]:
         """Family (or unknown) and probability, as the DataFrame form has them."""
-        p = _softmax(self._raw(self.weights, self.bias, s)[None] / self.temperature)[0]
+        z = (_matrix([s], self.vocabulary).astype(float) @ self.weights + self.bias) / self.temperature
+        p = _softmax(z)[0]
         k = int(p[:-1].argmax())
         return (self.families[k], float(p[k])) if 1 - p[-1] >= self.threshold and p[k] > p[-1] else (UNKNOWN, float(p[-1]))
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> LicenceModel:
-    """The model, with at most ``sample`` of the corpus's ``paragraphs`` as background."""
-    rows = rows.filter("background")
-    known = F.array(*[F.lit(g) for g in sorted(set().union(*(grams(t) for ts in TEMPLATES.values() for t in ts), *(grams(t) for t in EVERYDAY)))])
-    rows = rows.select(F.array_intersect(gram_column(F.col("words")), known).alias("g")).distinct()
-    return LicenceModel([set(r["g"]) for r in rows.orderBy(F.xxhash64("g"), "g").limit(sample).collect()])
-
-
-def scan(rows: DataFrame, model: LicenceModel) -> DataFrame:
-    """doc_id, paragraph, family, probability, template, similarity, confirmed for each line with a cue word of the ``paragraphs``."""
-    spark = rows.sparkSession
+    """The model, with at most ``sample`` lines of the corpus (rows with a column text) as background."""
+    first = LicenceModel([])
+    found = lines(rows, pattern_of(first.needed()))
+    chosen = found.select(F.xxhash64("words").alias("order"), "words").orderBy("order", "words").limit(sample)
+    near = sorted({frozenset(grams(" ".join(r["words"]))) for r in chosen.collect()}, key=sorted)
+    return LicenceModel([s for s in near if first.predict(set(s))[0] == UNKNOWN])  # it may be right where it names one
+
+
+def scan(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, paragraph, family, probability, template, similarity, confirmed for each line that is not unknown."""
+    texts = _rows(docs, id_col, text_col)
+    model = model or train(texts)
+    rows = lines(texts, pattern_of(model.needed())).unionByName(wrapped(texts)).withColumn("unit", F.monotonically_increasing_id())
+    rows = materialise(rows, "units")  # read twice; repeated rows are units of their own
+    spark = docs.sparkSession
     names = [f"z{k}" for k in range(len(model.classes))]
     weights = spark.createDataFrame([(g, *map(float, model.weights[i])) for g, i in model.vocabulary.items()], "gram string, " + ", ".join(f"{n} double" for n in names))
-    keys = ["doc_id", "key", "paragraph", "lines"]
+    keys = ["unit", "doc_id", "key", "paragraph", "lines"]
     each = rows.select(*keys, "covers", F.explode(gram_column(F.col("words"))).alias("gram"))
     # The vocabulary is fixed by the templates (about a thousand rows): proven small.
-    known = each.join(F.broadcast(weights), "gram", "left")
+    known = each.join(F.broadcast(weights), "gram")
     summed = known.groupBy(*keys).agg(F.first("covers").alias("covers"), F.count("z0").alias("m"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
     z = [(F.lit(float(b)) + F.col(n) / F.sqrt(F.greatest("m", F.lit(1)))) / F.lit(model.temperature) for n, b in zip(names, model.bias, strict=True)]
     top = F.greatest(*z)
@@ -216,13 +327,13 @@ def scan(rows: DataFrame, model: LicenceModel) -> DataFrame:
     best = F.array_max(F.slice("p", 1, n))
     family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position(F.slice("p", 1, n), best).cast("int"))
     sure = (1 - F.col("p")[n] >= model.threshold) & (best > F.col("p")[n])
-    named = summed.select(*keys, "covers", F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(sure, best).otherwise(F.col("p")[n]).alias("probability"))
-    pairs = [(f, t, len(s), g) for f, ts in TEMPLATES.items() for t in ts for s in [{g for g in grams(t) if " " in g}] for g in s]
+    named = summed.filter(sure).select(*keys, "covers", F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(sure, best).otherwise(F.col("p")[n]).alias("probability"))
+    pairs = [(f, t, len(s), g) for f, t, s in template_pairs() for g in sorted(s)]
     templates = spark.createDataFrame(pairs, "family string, template string, size int, gram string")
     shared = each.join(F.broadcast(templates), "gram").groupBy(*keys, "family", "template", "size").agg(F.count(F.lit(1)).alias("n"))
     share = (F.col("n") / F.col("size")).alias("similarity")
     nearest = shared.select(*keys, "family", "template", share).groupBy(*keys, "family").agg(F.max(F.struct("similarity", "template")).alias("t"))
-    out = named.alias("a").join(nearest.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "family"]], "left")
+    out = named.alias("a").join(nearest.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("unit", "family")], "left")
     similarity = F.coalesce(F.col("b.t.similarity"), F.lit(0.0))
     confirmed = (F.col("a.family") != UNKNOWN) & (similarity >= CONFIRM)
     judged = out.select("a.doc_id", "a.key", F.col("a.paragraph").alias("start"), "a.lines", "a.covers", "a.family", "a.probability", F.col("b.t.template").alias("template"), similarity.alias("similarity"), confirmed.alias("confirmed"))
@@ -235,5 +346,4 @@ def scan(rows: DataFrame, model: LicenceModel) -> DataFrame:
 
 
 def op3_licences(spark, sf_dir: str) -> DataFrame:
-    rows = materialise(paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet")), "paragraphs")
-    return scan(rows, train(rows))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
