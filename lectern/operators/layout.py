@@ -60,7 +60,7 @@ def split_wide_gap(line: Column, gap: int = 10) -> Column:
 _U = f"第[{UNIT_NUMERALS}]+单元"
 _HEAD, _COLON = r"^(?:[◎○]\s*)?", r"\s*[:：]?\s*"
 _DOTS, _PAGE = r"\s*(?:(?:\.|．)\s*){2,}\s*(\p{Nd}+)\s*$", r"\s{1,}(\p{Nd}{1,4})\s*$"
-_FIELDS = ("kind", "number", "title", "label", "block", "subtitle", "page", "optional_reading")
+_FIELDS = ("kind", "number", "title", "label", "block", "subtitle", "sublesson_title", "page", "optional_reading")
 
 
 def _entry(kind: str, **fields: Column) -> Column:
@@ -91,10 +91,7 @@ def parse_cell(cell: Column) -> Column:
         fields = {"number": part(p, 1), "title": clean_title(part(p, 3)), "optional_reading": part(p, 2) != ""}
         return _entry("lesson", **(fields | ({"page": part(p, 4)} if paged else {})))
 
-    skipped = F.lit(False)
-    for p in SKIPPED_PREFIXES:
-        skipped = skipped | c.startswith(p)
-    out = F.when((s == "") | (c == "阅读") | skipped, F.lit(None))
+    out = F.when(is_skipped(c), F.lit(None))
     out = out.when(c.rlike(f"^{_U}·(阅读|识字|汉语拼音)$") | (c == "我上学了"), _entry("section", label=c))
     out = out.when(c.isin("古诗词诵读", "古诗诵读"), _entry("section", label=F.lit("古诗词诵读")))
     out = out.when(c.rlike(rf"^{_U}(?:\.+\p{{Nd}}+)?$"), _entry("section", label=F.regexp_extract(c, f"^({_U})", 1)))
@@ -138,16 +135,85 @@ def lesson_pieces(cell: Column) -> Column:
     return F.when(s.rlike(_LESSONS), F.filter(each, lambda p: ~skipped(p))).otherwise(none)
 
 
-def scan_cells(rows: DataFrame, cell: str, han: int | None = 36, levels: int = 2) -> DataFrame:
+def wide_gap_pair(line: Column, gap: int = 10) -> Column:
+    """The older split as (left, right)."""
+    pieces = split_wide_gap(line, gap)
+    return F.struct(F.coalesce(F.get(pieces, F.lit(0)), F.lit("")).alias("left"), F.coalesce(F.get(pieces, F.lit(1)), F.lit("")).alias("right"))
+
+
+def is_whole_line(raw: Column, entry: Column) -> Column:
+    """Whether a line (with its ``parse_cell``) is one entry as it is, so that it is not split: any that the rules name, but
+    for a lesson without a page and a title that dots alone lead to its page."""
+    bare = (entry["kind"] == "lesson") & entry["page"].isNull()
+    dotted = (entry["kind"] == "sublesson") & ~raw.rlike(f"^{_S}{{4,}}") & raw.rlike(rf"\.{{2,}}{_S}*\p{{Nd}}+{_S}*$")
+    return F.coalesce(entry.isNotNull() & ~bare & ~dotted, F.lit(False))
+
+
+def narrow_pair(raw: Column) -> Column:
+    """(left, right) of a line without a wide gap that holds two lessons, or a lesson and a garden; else null."""
+    s = strip(raw)
+    found = F.regexp_extract_all(s, F.lit(f"({_LESSONS})"), F.lit(1))
+    first, second = strip(F.get(found, F.lit(0))), strip(F.get(found, F.lit(1)))
+    tail = strip(F.substring(s, F.position(F.get(found, F.lit(0)), s) + F.length(F.get(found, F.lit(0))), F.length(s)))
+    between = F.length(tail) > 0
+    two = (F.size(found) == 2) & s.rlike(rf"(?:{_LESSONS}){_S}{{1,12}}(?:{_LESSONS})")
+    garden = (F.size(found) == 1) & between & tail.rlike(rf"^[◎○]?{_S}*语文园地[{NUMERALS}]*(?:{_S}*\.{{2,}}{_S}*\p{{Nd}}+|{_S}{{2,}}\p{{Nd}}{{1,4}})?{_S}*$")
+    pair = lambda a, b: F.struct(a.alias("left"), b.alias("right"))
+    return F.when(two, pair(first, second)).when(F.coalesce(garden, F.lit(False)), pair(first, tail))
+
+
+def lone_cell(raw: Column) -> Column:
+    """(left, right) of a line that may be one side of two columns: a lesson far to the right, or a lesson alone."""
+    none = F.lit("")
+    right = rf"^{_S}{{12,}}(\p{{Nd}}{{1,2}}[*＊]?{_S}+.+)$"
+    trimmed = F.regexp_replace(raw, f"{_S}+$", "")
+    alone = strip(raw).rlike(f"^(?:(?!{_LESSONS}).)*(?:{_LESSONS})$") & (F.size(F.regexp_extract_all(strip(raw), F.lit(f"({_LESSONS})"), F.lit(1))) == 1)
+    pair = lambda a, b: F.struct(a.alias("left"), b.alias("right"))
+    return F.when(trimmed.rlike(right), pair(none, strip(F.regexp_extract(trimmed, right, 1)))).when(alone, pair(strip(raw), none))
+
+
+def single_column_cells(rows: DataFrame, part: list[str], gap: int = 10) -> DataFrame:
+    """part, block, line_no, side, cell, done: the cells of a contents that is mostly of one column, in reading order of
+    (block, side, line_no). ``rows``: line_no, raw, cut (whether a block ends at this blank line).
+
+    Lines that are an entry as they are stand by themselves (done). Lines of two columns gather in a block, read column
+    by column, until a line that stands by itself. A lone cell joins the block if that has two lines at least: two
+    such lines in a row, and nothing since that ended it."""
+    w = Window.partitionBy(*part).orderBy("line_no")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("cuts", F.sum(F.col("cut").cast("int")).over(so_far)).filter(strip(F.col("raw")) != "")
+    wide = F.when(F.size(split_wide_gap(F.col("raw"), gap)) == 2, wide_gap_pair(F.col("raw"), gap))
+    rows = rows.withColumn("first_entry", parse_cell(F.col("raw"))).withColumn("whole", is_whole_line(F.col("raw"), F.col("first_entry")))
+    rows = rows.withColumn("two", F.when(~F.col("whole"), F.coalesce(wide, narrow_pair(F.col("raw")))))
+    rows = rows.withColumn("lone", F.when(~F.col("whole") & F.col("two").isNull(), lone_cell(F.col("raw"))))
+    ends = F.col("two").isNull() & F.col("lone").isNull()
+    rows = rows.withColumn("ends", ends).withColumn("stretch", F.sum(F.col("ends").cast("int")).over(so_far) + F.col("cuts"))
+    again = F.col("two").isNotNull() & F.coalesce(F.lag(F.col("two").isNotNull()).over(w) & (F.lag("stretch").over(w) == F.col("stretch")), F.lit(False))
+    rows = rows.withColumn("again", again)
+    before = Window.partitionBy(*part, "stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.coalesce(F.max("again").over(before), F.lit(False))
+    rows = rows.withColumn("joins", F.col("two").isNotNull() | (F.col("lone").isNotNull() & open_))
+    alone = (~F.col("joins")).cast("int")
+    rows = rows.withColumn("block", 2 * (F.sum(alone).over(so_far) - alone + F.col("cuts")) + alone)
+    sides = F.when(F.col("joins"), F.coalesce("two", "lone")).otherwise(F.struct(F.col("raw").alias("left"), F.lit("").alias("right")))
+    rows = rows.withColumn("sides", sides)
+    out = rows.select(*part, "block", "line_no", F.col("whole").alias("done"), F.posexplode(F.array("sides.left", "sides.right")).alias("side", "cell"))
+    return out.filter(strip(F.col("cell")) != "")
+
+
+def scan_cells(rows: DataFrame, cell: str, han: int | None = 36, levels: int = 2, halves=None) -> DataFrame:
     """One row for each piece of a cell, with scan (its place in the cell) and the piece as ``cell``.
 
     A cell is split into columns once more, each is scanned for lessons, and what is between lessons goes the
-    same way again, split twice; that has no lesson, so that two levels are all."""
-    rows = rows.withColumn("scan", F.array().cast("array<int>")).withColumn("done", F.lit(False))
+    same way again, split twice; that has no lesson, so that two levels are all. ``halves`` is another way to split a
+    cell. Cells that are marked done are left as they are."""
+    rows = rows.withColumn("scan", F.array().cast("array<int>"))
+    rows = rows if "done" in rows.columns else rows.withColumn("done", F.lit(False))
+    halves = halves or (lambda c: split_columns(c, han))
 
     def split(rows: DataFrame) -> DataFrame:
         sides = F.when(F.col("done"), F.array(F.col(cell))).otherwise(F.array("split.left", "split.right"))
-        rows = rows.withColumn("split", split_columns(F.col(cell), han))
+        rows = rows.withColumn("split", halves(F.col(cell)))
         rows = rows.select(*[x for x in rows.columns if x not in (cell, "split")], F.posexplode(sides).alias("at", cell)).filter(strip(F.col(cell)) != "")
         return rows.withColumn("scan", F.concat("scan", F.array("at"))).drop("at")
 
@@ -159,6 +225,14 @@ def scan_cells(rows: DataFrame, cell: str, han: int | None = 36, levels: int = 2
     return rows.drop("done")
 
 
+def is_skipped(c: Column) -> Column:
+    """Whether a compacted cell is none of the contents: blank, a bare column head, or the head of an appendix."""
+    out = (c == "") | (c == "阅读")
+    for p in SKIPPED_PREFIXES:
+        out = out | c.startswith(p)
+    return out
+
+
 def group_tree(entries: DataFrame, part: list[str], order: str, is_section: Column, label: Column) -> DataFrame:
     """Add group_id (dense from 1; rows before the first section have a group of their own) and group_label."""
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -86,6 +86,25 @@ def collapse_single(rows: DataFrame, is_child: Column, is_parent: Column, part:
     return rows.withColumn("single", one & F.col("is_parent")).withColumn("swallowed", one & F.col("is_child")).drop("is_child", "is_parent", "children", "headed")
 
 
+def collapse_entries(rows: DataFrame, kind: Column, part: list[str], order: list[str]) -> DataFrame:
+    """Mark entries that take the next one into themselves (takes) and those that are taken (taken).
+
+    An entry other than a section with exactly one sublesson takes it. A belt without sublessons takes an activity
+    that follows at once; the sublessons of an activity that was taken stay on their own."""
+    w = _w(part, order)
+    rows = rows.withColumn("own_kind", kind)
+    rows = rows.withColumn("before", F.lag("own_kind").over(w)).withColumn("after", F.lead("own_kind").over(w))
+    child = F.col("own_kind") == "sublesson"
+    consumed = (F.col("own_kind") == "block_activity") & F.coalesce(F.col("before") == "toc_belt", F.lit(False))
+    rows = rows.withColumn("consumed", consumed).withColumn("run", F.sum((~child).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per = Window.partitionBy(*part, "run")
+    one = (F.sum(child.cast("int")).over(per) == 1) & F.coalesce(F.max((~child & (F.col("own_kind") != "section") & ~F.col("consumed"))).over(per), F.lit(False))
+    belt = (F.col("own_kind") == "toc_belt") & F.coalesce(F.col("after") == "block_activity", F.lit(False))
+    rows = rows.withColumn("one", one)
+    rows = rows.withColumn("takes", ~child & ~F.col("consumed") & (F.col("one") | belt)).withColumn("taken", F.col("consumed") | (child & F.col("one")))
+    return rows.drop("own_kind", "before", "after", "consumed", "one", "run")
+
+
 def positional_align(rows: DataFrame, entries: DataFrame, anchor: Column, part: list[str], order: list[str], entry_no: str, keep: list[str]) -> DataFrame:
     """The k-th anchor meets the k-th entry; rows between anchors inherit; none where entries run out."""
     k = F.sum(anchor.cast("int")).over(_w(part, order).rowsBetween(Window.unboundedPreceding, 0))

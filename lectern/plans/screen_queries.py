@@ -261,3 +261,28 @@ SELECT count(error) AS failed, bool_or(ran) AS any_ran, CAST(CASE WHEN count(err
 def batch_outcome(spark, d):
     rows = _tables(spark, d)["chunks"].groupBy("book").agg(F.bool_or("ok").alias("ran"), F.max(F.when(F.col("row_no") == 2, "no end")).alias("error"))
     return screens.batch_outcome(rows)
+
+
+# --- contents ----------------------------------------------------------------------------------------------
+
+_PAGE = ["目录", "第一单元....1", "1 {lang} ........ 2", "    山行 .... 3", "2 {source} ........ 4", "    甲 .... 5", "    乙 .... 6", "习作：", "◎ 习作：春天 .... 9", "语文园地....15", "第二单元....16", "口语交际：", "3* {lang}x ........ 17", *[""] * 10, "识字表....99"]
+_ROWS = """(0, 1, '第一单元', '分组', NULL, 'section', NULL, NULL, '第一单元', NULL, NULL, NULL), (1, 1, '第一单元', '课文', '阅读', 'lesson', '1', lang, NULL, NULL, '山行', 2),
+(2, 1, '第一单元', '课文', '阅读', 'lesson', '2', source, NULL, NULL, NULL, 4), (3, 1, '第一单元', '课文', '阅读', 'sublesson', NULL, '甲', NULL, NULL, NULL, 5), (4, 1, '第一单元', '课文', '阅读', 'sublesson', NULL, '乙', NULL, NULL, NULL, 6),
+(5, 1, '第一单元', '习作', NULL, 'toc_belt', NULL, '春天', '习作', '习作', NULL, 9), (6, 1, '第一单元', '语文园地', NULL, 'garden', NULL, NULL, '语文园地', NULL, NULL, 15), (7, 2, '第二单元', '分组', NULL, 'section', NULL, NULL, '第二单元', NULL, NULL, NULL),
+(8, 2, '第二单元', '口语交际', NULL, 'toc_belt', NULL, NULL, '口语交际', NULL, NULL, NULL), (9, 2, '第二单元', '口语交际', NULL, 'lesson', '3', lang || 'x', NULL, NULL, NULL, 17)"""
+
+
+@query(f"""SELECT doc_id, CAST(r.i AS INTEGER) AS toc_index, doc_id || '-toc-000' || (r.i + 1) AS id, CAST(r.g AS BIGINT) AS group_id, r.gl AS group_label, r.t AS unit_type, r.st AS unit_subtype, r.kind, r.number, r.title, r.label, r.block, r.sub AS sublesson_title, CAST(r.page AS INTEGER) AS page
+FROM documents, LATERAL (SELECT * FROM (VALUES {_ROWS}) AS v(i, g, gl, t, st, kind, number, title, label, block, sub, page)) AS r WHERE r.i < 9
+UNION ALL SELECT doc_id, 9, doc_id || '-toc-0010', 2, '第二单元', '口语交际', NULL, 'lesson', '3', lang || 'x', NULL, NULL, NULL, 17 FROM documents""")
+def contents_of_layout_text(spark, d):
+    from lectern.operators import contents, lines
+
+    pieces = []
+    for line in _PAGE:
+        a, brace, rest = line.partition("{")
+        name, _, b = rest.partition("}")
+        pieces.append(F.concat(F.lit(a), F.col(name), F.lit(b)) if brace else F.lit(line))
+    docs = _t(spark, d, "documents").select("doc_id", F.concat_ws("\n", *pieces).alias("text"))
+    rows = contents.extract_contents(lines.explode_lines(docs), ["doc_id"])
+    return rows.select("doc_id", "toc_index", "id", "group_id", "group_label", "unit_type", "unit_subtype", *[F.col(f"entry.{f}") for f in ("kind", "number", "title", "label", "block", "sublesson_title", "page")])

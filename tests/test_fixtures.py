@@ -160,3 +160,40 @@ def test_contents_stop_at_pinyin_and_need_a_stop(spark):
     assert [_one(spark, rules.is_pinyin_body(F.col("s")), s=s) for s in ("qiU tiQn de xiAo", "xiAo", "kE kE kE kE kE kE", "1 abc ABC ...... 12")] == [True, False, False, False]
     with pytest.raises(Exception, match="no end of the contents: b"):
         _contents(spark, "1 A...2", stop="2 B...4")
+
+
+def _rows(spark, body, **options):
+    docs = spark.createDataFrame([("b", "目录\n" + body + "\n" * 25 + "识字表....99")], "book string, text string")
+    return contents.extract_contents(lines.explode_lines(docs), ["book"], **options).orderBy("toc_index").collect()
+
+
+def test_children_merge_into_their_parents(spark):
+    """X12: a single sublesson and an activity after a belt are taken; two sublessons and those of a taken activity are not."""
+    body = "1 古诗....2\n    山行 .... 3\n2 古诗....4\n    甲 .... 5\n    乙 .... 6\n习作：\n◎ 习作：春天 .... 7\n    丙 .... 8"
+    got = [(r["entry"]["kind"], r["entry"]["title"], r["entry"]["sublesson_title"], r["entry"]["page"]) for r in _rows(spark, body)]
+    assert got == [
+        ("lesson", "古诗", "山行", 2),
+        ("lesson", "古诗", None, 4),
+        ("sublesson", "甲", None, 5),
+        ("sublesson", "乙", None, 6),
+        ("toc_belt", "春天", None, 7),
+        ("sublesson", "丙", None, 8),
+    ]
+
+
+def test_unit_types_by_kind_group_and_belt(spark):
+    body = "我上学了\n1 甲....1\n第一单元·识字\n2 乙....2\n口语交际：\n3 丙....3\n习作例文：\n4 丁....4\n古诗词诵读\n5 戊....5"
+    got = {r["entry"]["title"]: (r["unit_type"], r["unit_subtype"]) for r in _rows(spark, body) if r["entry"]["kind"] == "lesson"}
+    assert got == {"甲": ("入学教育", None), "乙": ("课文", "识字"), "丙": ("口语交际", None), "丁": ("课文", "识字"), "戊": ("古诗词诵读", None)}
+
+
+def test_contents_of_one_column(spark):
+    """Whole lines stand by themselves; lines of two lessons are read column by column until one that does."""
+    body = "第一单元\n1 甲甲      2\n2 乙乙\n3 a          4 b\n5 c          6 d\n              7 e\n8 f....8\n9 g....9    10 h....10\n语文园地....9"
+    got = [(r["entry"]["number"], r["entry"]["title"] or r["entry"]["label"]) for r in _rows(spark, body, columns=1)]
+    assert got == [(None, "第一单元"), ("1", "甲甲"), ("2", "乙乙"), ("3", "a"), ("5", "c"), ("4", "b"), ("6", "d"), ("7", "e"), ("8", "f"), ("9", "g....9    10 h"), (None, "语文园地")]
+
+
+def test_lines_that_are_no_entries_are_rejected(spark):
+    docs = spark.createDataFrame([("b", "目录\n1 甲....1\n随便说说\n识字表说明\n" + "\n" * 25 + "识字表....99")], "book string, text string")
+    assert [r["raw"] for r in contents.rejected_cells(lines.explode_lines(docs), ["book"]).collect()] == ["随便说说"]
