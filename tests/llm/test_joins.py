@@ -140,3 +140,30 @@ def test_removal_of_copies_in_one_and_several_tasks(make_docs):
     for n in (1, 2, 3, 7):
         rows = [(k, text, "en") for k in range(n)] + [(90, " ".join(f"c{k}" for k in range(16, 70)), "en")]
         assert got(removal_counts(make_docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removal(rows)
+
+
+def test_top_k_of_repeated_rows_and_ids(spark):
+    rows = [(k % 150, [float(k % 7), float(k % 5) - 2, float(k % 3)]) for k in range(300)] + [(0, [0.0, -2.0, 0.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = set()
+    for q in (0, 100):
+        own = min(v for i, v in rows if i == q)
+        best = sorted((-sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(own, v, strict=True)), i) for i, v in rows if i != q)[:10]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    got_ = [tuple(r) for r in top_k(df, df.filter("vec_id % 100 = 0")).collect()]
+    assert set(got_) == want and len(got_) == 20
+
+
+def test_top_k_stops_early_where_the_bound_allows(spark):
+    """One component rules: a few rows are scored. Scores over the exact range of a double, and none over a long's."""
+    import random
+
+    random.seed(1)
+    rows = [(k, [float(k), random.random() / 1000, random.random() / 1000]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    scored = {r["query_id"]: r["scored"] for r in top_k(df, df.filter("vec_id % 1000 = 0"), with_scored=True).collect()}
+    assert max(n for i, n in scored.items() if i) < 1000
+    wide = spark.createDataFrame([(k, [2.0**21 + k, 3.0 - k]) for k in range(30)], "vec_id long, embedding array<double>")
+    for q, _, i, s in (tuple(r) for r in top_k(wide, wide.filter("vec_id % 100 = 0")).collect()):
+        a, b = ([math.floor(1024 * (2.0**21 + k)), math.floor(1024 * (3.0 - k))] for k in (q, i))
+        assert s == a[0] * b[0] + a[1] * b[1]
