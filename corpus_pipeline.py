@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. A stage learns from the rows it is given. Rows with a null or blank text go in the first stage;
-null and repeated ids, nulls elsewhere and extra columns, whatever their names, are kept as they are; an empty
-table stays empty.
+null and repeated ids, nulls elsewhere and extra columns, whatever their names, are kept as they are; very long
+texts are read whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL expresses neither the trained stages nor the tokenizer; the tests hold run() against brute force.
+#: SQL expresses neither the trained stages nor the tokenizer; the tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
