@@ -48,6 +48,37 @@ def test_texts_without_repeats(spark, make_docs, odd_rows):
     assert got == want
 
 
+def test_quality_and_language_stages_by_brute_force(spark):
+    """Each document by itself, with the models that the stage's own input gives."""
+    from lectern.llm import language, quality
+    from test_texts import brute_language
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    _, scorer = quality.fit(docs.select("doc_id", "text"))
+    rows = docs.collect()
+    want = {r["doc_id"] for r in rows if (r["text"] or "").split() and scorer.score(r["text"]) >= quality.CUT}
+    kept = pipeline.good_quality(spark, docs, SF)
+    assert {r["doc_id"] for r in kept.collect()} == want
+    judged = brute_language([(r["doc_id"], r["text"], r["lang"]) for r in rows], language.LENGTH)
+    want = {i for i, (_, lang, score) in judged.items() if lang != language.UNKNOWN and score >= pipeline.LEAST_LANGUAGE_SCORE}
+    assert {r["doc_id"] for r in pipeline.known_language(spark, docs, SF).collect()} == want
+
+
+def test_packing_stage_of_odd_rows(spark, make_docs, odd_rows):
+    import tokenizers
+    import public_tokenizers
+
+    own = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    total = Counter()
+    for r in pipeline.packed(spark, make_docs(odd_rows), SF).collect():
+        total[r["doc_id"]] += r["length"]
+    want = Counter()
+    for i, t, _ in odd_rows:
+        want[i] += len(own.encode(t or "", add_special_tokens=False).ids) + 1
+    assert total == want
+    assert pipeline.packed(spark, make_docs([]), SF).count() == 0
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     total = {(r["doc_id"], r["doc_tokens"]) for r in rows}
