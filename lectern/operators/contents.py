@@ -93,15 +93,17 @@ def rejected_cells(ln: DataFrame, part: list[str], han: int | None = 36, start=N
     return out.select(*part, "line_no", "raw")
 
 
-def extract_char_table(ln: DataFrame, part: list[str], name: str = "识字表", entries: DataFrame | None = None) -> DataFrame:
-    """Rows of a character table, bound to the contents where they are given."""
-    end = CHAR_TABLES[name]
-    rows = tables.char_rows(lines.full_match_region(ln, part, [name], [end]), part, total=end)
+def extract_char_table(ln: DataFrame, part: list[str], name: str = "识字表", entries: DataFrame | None = None, start=None, end=None, discard=None, unit_heads=None) -> DataFrame:
+    """Rows of a character table, bound to the contents where they are given. Each table has its own discards."""
+    end = end or CHAR_TABLES[name]
+    discard = tables.DISCARDED_OF[name] if discard is None else discard
+    rows = tables.char_rows(lines.full_match_region(ln, part, start or [name], [end]), part, unit_heads, discard, total=end)
     return rows if entries is None else tables.assign_units(rows, entries, part)
 
 
-def extract_word_table(ln: DataFrame, part: list[str], entries: DataFrame | None = None) -> DataFrame:
-    rows = tables.word_rows(lines.full_match_region(ln, part, [WORD_TABLE], WORD_ENDS), part, total=WORD_ENDS[0])
+def extract_word_table(ln: DataFrame, part: list[str], entries: DataFrame | None = None, start=None, ends=None, discard=None) -> DataFrame:
+    ends = ends or WORD_ENDS
+    rows = tables.word_rows(lines.full_match_region(ln, part, start or [WORD_TABLE], ends), part, discard, total=ends[0])
     return rows if entries is None else tables.assign_units(rows, entries, part, words=True)
 
 
@@ -121,6 +123,24 @@ EXTRACTORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def _listed(value) -> list[str] | None:
+    return None if value is None else [value] if isinstance(value, str) else list(value)
+
+
+def options_of(name: str, block: dict) -> dict:
+    """The arguments of an extraction from its block of the configuration (``options`` in it win over its other keys)."""
+    o = {k: v for k, v in block.items() if k != "options"} | (block.get("options") or {})
+    start, ends, discard = (_listed(o.get(k)) for k in ("start_line_pattern", "end_line_patterns", "discard_line_patterns"))
+    ends = ends or _listed(o.get("end_line_pattern"))
+    if name == "目录":
+        out = {"start": start, "ends": ends, "columns": o.get("column_number"), "han": o.get("toc_content_width_han", 36), "gap": max(4, int(o.get("min_column_gap") or 10))}
+        before = "toc_dual_right_only_move_before_section"
+        return out | ({"move_before": o[before] or None} if before in o else {})
+    if name == WORD_TABLE:
+        return {"start": start, "ends": ends, "discard": discard}
+    return {"start": start, "end": ends[0] if ends else o.get("total_pattern"), "discard": discard, "unit_heads": _listed(o.get("unit_head_pattern"))}
+
+
 def title_groups(entries: DataFrame, part: list[str]) -> DataFrame:
     """part, group_id, group_label, titles: the two-level tree of the contents."""
     rows = entries.filter("entry.kind <> 'section'").select(*part, "group_id", "group_label", "toc_index", compact(F.coalesce("entry.title", "entry.label")).alias("t"))

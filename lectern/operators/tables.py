@@ -15,6 +15,7 @@ from lectern.operators.sequences import carry_forward, greedy_align
 # --- Fixed values: the default patterns of the tables ---------------------------------------------------
 UNIT_HEADS = [r"\d{1,2}", "语文园地[一二三四五六七八九十]?"]
 DISCARDED = ["仅供个人.*", "识字表中.*", "识字", "阅读", "汉语拼音"]
+DISCARDED_OF = {"识字表": DISCARDED, "写字表": ["仅供个人.*", "识字", "阅读", "汉语拼音"]}
 CHAR_TOTAL, WORD_TOTAL = r"(\(|（)共\d+个生?字(\)|）)", r"(\(|（)共\d+个词(\)|）)"
 # --------------------------------------------------------------------------------------------------------
 

@@ -73,9 +73,8 @@ def effective(defaults: dict[str, Any], b: Book, overlay: dict[str, Any] | None
     if isinstance(toc, dict):
         if b.toc_columns == 1:
             toc.pop("column_number", None)
-            toc.pop("toc_content_width_han", None)
         else:
-            toc["column_number"] = b.toc_columns
+            toc["column_number"] = 2
         if b.toc_content_width_han is not None:
             toc["toc_content_width_han"] = b.toc_content_width_han
     out["extractors"] = {k: v for k, v in extractors.items() if k not in b.extractors_drop}

@@ -36,3 +36,30 @@ def test_markdown(spark):
     df = spark.createDataFrame([("a```b",)], "t string").select(files.fenced(F.col("t")).alias("m"))
     assert df.first()["m"] == "````\na```b\n````"
     assert files.to_json(spark.createDataFrame([(None, 1)], "a string, b int")).first()["value"] == '{"a":null,"b":1}'
+
+
+def test_options_reach_the_extractions():
+    from lectern.operators.contents import options_of
+    from lectern.sources import config
+
+    defaults = {"extractors": {"目录": {"column_number": 2, "toc_content_width_han": 30, "start_line_pattern": "目录"}, "识字表": {"total_pattern": "共.*", "discard_line_patterns": ["x"]}}}
+    one, two = (config.Book("b", 0, "b.pdf", toc_columns=n) for n in (1, 3))
+    assert options_of("目录", config.effective(defaults, one)["extractors"]["目录"]) == {"start": ["目录"], "ends": None, "columns": None, "han": 30, "gap": 10}
+    assert options_of("目录", config.effective(defaults, two)["extractors"]["目录"])["columns"] == 2
+    assert options_of("目录", {"column_number": 2, "options": {"column_number": 1, "min_column_gap": 2, "toc_dual_right_only_move_before_section": ""}}) == {"start": None, "ends": None, "columns": 1, "han": 36, "gap": 4, "move_before": None}
+    assert options_of("识字表", defaults["extractors"]["识字表"]) == {"start": None, "end": "共.*", "discard": ["x"], "unit_heads": None}
+
+
+def test_an_error_of_one_book_stops_no_other(spark):
+    from lectern import cli
+    from lectern.operators import lines, screens
+    from lectern.sources import config
+
+    good = "目录\n1 甲....1\n" + "\n" * 25 + "识字表....99"
+    ln = lines.explode_lines(spark.createDataFrame([("a", good), ("b", "目录\n1 甲....1")], "book_code string, text string"))
+    books = [config.Book(c, k, f"{c}.pdf", extractors_drop=("词语表",)) for k, c in enumerate("ab")]
+    written = {}
+    status = cli.run_books(spark, ln, books, {}, ["目录", "词语表"], lambda rows, book, name: written.update({(book, name): rows.count()}))
+    assert written == {("a", "目录"): 1}
+    assert {(r["book"], r["extractor"], r["ran"], r["error"] is None) for r in status.collect()} == {("a", "目录", True, True), ("a", "词语表", False, True), ("b", "目录", False, False), ("b", "词语表", False, True)}
+    assert tuple(screens.batch_outcome(status).first()) == (1, True, 1)
