@@ -35,7 +35,7 @@ CAPACITY, END_ID = 2048, 1
 GROUP_TOKENS = 4_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Entries of each generation of a worker's two caches (of chunks, of words); there are two generations.
-CACHE = 150_000
+CACHE = 400_000
 
 #: Chunks of these characters are cut as the tokenizer's own pattern cuts them, and lower-cased alike.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -73,7 +73,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_str(source)
         own = self.tokenizer.get_added_tokens_decoder().values()
         #: Texts that spell out a token of the tokenizer's own go to it as they are.
-        self.added = re.compile("|".join(re.escape(t.content) for t in own) or r"(?!)", re.IGNORECASE if any(t.normalized for t in own) else 0)
+        self.added, self.folded = [t.content for t in own], [t.content.lower() for t in own if t.normalized]
         self.type = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
         self.code = np.dtype(self.type).char
         self.chunks, self.words = Recent(CACHE), Recent(CACHE)
@@ -90,7 +90,7 @@ class Ids:
             self.chunks[c] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {k for k, t in enumerate(texts) if self.added.search(t)}
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added) or self.folded and any(a in t.lower() for a in self.folded)}
         cut = [[] if k in whole else re.split(r"[ \t\n\r]+", t) if _OTHER_SPACE.search(t) else t.split() for k, t in enumerate(texts)]
         self.learn(cut)
         get = self.chunks.__getitem__
