@@ -352,7 +352,12 @@ def top_words(spark, d):
 _POS = "pos AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM documents), ends AS (SELECT count(*) // 5 AS a, count(*) // 2 AS b FROM documents)"
 
 
-_ORDER, _A, _B = ["source", "doc_id"], F.floor(F.col("total") / 5), F.floor(F.col("total") / 2)
+_ORDER = ["source", "doc_id"]
+
+
+def _ends() -> tuple[Column, Column]:
+    """The places of the range's ends."""
+    return F.floor(F.col("total") / 5), F.floor(F.col("total") / 2)
 
 
 def _bucket():
@@ -363,7 +368,7 @@ def _bucket():
 def _ranged(spark, d):
     """The documents of the range, found by its two ends."""
     docs = _t(spark, d, "documents").select("source", "doc_id", "text")
-    return lookup.between_places(docs, docs, _ORDER, _A, _B, _bucket())
+    return lookup.between_places(docs, docs, _ORDER, *_ends(), _bucket())
 
 
 @query(f"WITH {_POS} SELECT DISTINCT c AS item FROM (SELECT unnest(string_split(text, '')) AS c FROM pos, ends WHERE pos BETWEEN a AND b) WHERE regexp_full_match(c, '[\\p{{L}}]')")
@@ -435,7 +440,7 @@ SELECT bucket, string_agg(word, ' ' ORDER BY coalesce(freq, 0) DESC, word) AS wo
 def word_buckets(spark, d):
     hits = _hits(_ranged(spark, d).filter(F.col("text").contains("ed")), ["doc_id"])
     pos = lookup.positions(_t(spark, d, "documents").select("source", "doc_id"), _ORDER, _bucket())
-    hits = hits.join(pos, "doc_id").withColumn("bucket", lookup.bucket(F.col("pos"), _B))
+    hits = hits.join(pos, "doc_id").withColumn("bucket", lookup.bucket(F.col("pos"), _ends()[1]))
     return lookup.bucket_words(hits, _freq(spark, d)).select("bucket", F.array_join("words", " ").alias("words"))
 
 
