@@ -170,10 +170,11 @@ def with_repeats(docs: DataFrame, window: int = WINDOW, bits: int | None = None)
     bits = bits or bits_for(docs)
     hits = anchors(keyed, window, block, bits)
     found = materialise(places(keyed, hits, repeats(keyed, hits, window, block, bits), window, block, bits), "places")
-    several = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Written by itself, so that what is shuffled for the counts is gone before the join.
+    several = materialise(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "several")
     exact = found.join(several, ["h1", "h2"])
     starts = materialise(exact.groupBy("k1", "k2").agg(F.collect_set("at").alias("starts")), "starts")
-    discard(found)
+    discard(found, several)
     return keyed.join(starts, ["k1", "k2"], "left").drop("k1", "k2")
 
 
