@@ -8,7 +8,7 @@
    templates and everyday sentences. It is trained from the
    templates (whole, by sentence and by parts) and, for ``unknown``, from everyday sentences
    and at most SAMPLE lines of the corpus (of the least hash) that hold an n-gram without
-   which a first model names nothing, but that it calls unknown all the same.
+   which a first model names nothing, and that it calls unknown or that have hardly anything of any template.
 3. Calibration: templates and unknown rows are dealt into FOLDS folds, whole templates with all their parts, and judged
    by models that have not seen their fold. From that come a temperature that minimises the log loss, and a
    threshold that at most FALSE_RATE of the unknown rows pass.
@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import materialise
 
 SAMPLE, FALSE_RATE, CONFIRM, FOLDS = 500, 0.01, 0.6, 4
+#: A line with less than this share of the 2-grams of any template is none of a licence, whatever the first model says.
+STRANGE = 0.15
 UNKNOWN = "unknown"
 
 #: Notices of licence families as they are commonly written.
@@ -301,7 +303,9 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     found = lines(rows, pattern_of(first.needed()))
     chosen = found.select(F.xxhash64("words").alias("order"), "words").orderBy("order", "words").limit(sample)
     near = sorted({frozenset(grams(" ".join(r["words"]))) for r in chosen.collect()}, key=sorted)
-    return LicenceModel([s for s in near if first.predict(set(s))[0] == UNKNOWN])  # it may be right where it names one
+    pairs = [p for *_, p in template_pairs() if p]
+    # Where it names one, it may be right, unless the line has hardly anything of any template.
+    return LicenceModel([s for s in near if first.predict(set(s))[0] == UNKNOWN or max(len(p & s) / len(p) for p in pairs) < STRANGE])
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
