@@ -20,11 +20,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +35,16 @@ from lectern.llm.common import Kept, table
 CAPACITY, END_ID = 2048, 1
 GROUP_TOKENS = 4_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Entries of each generation of a worker's two caches (of chunks, of words); there are two generations.
+#: Entries of each generation of a worker's cache of words; there are two generations.
 CACHE = 400_000
+#: Bytes of texts that are encoded together (one text at least), and words that the tokenizer gets as one text.
+TOGETHER, JOINED = 1 << 22, 500
 
 #: Chunks of these characters are cut as the tokenizer's own pattern cuts them, and lower-cased alike.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
 #: White space of Python, of which the tokenizer itself decides.
-_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_OTHER_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class Recent(dict):
@@ -62,9 +65,10 @@ class Recent(dict):
 
 
 class Ids:
-    """Ids of white-space-separated chunks by a Hugging Face tokenizer that drops white space, with a cache.
+    """Ids of texts by a Hugging Face tokenizer that drops white space, with a cache of words.
 
-    Tokens of such a tokenizer never span white space, so that a text's ids are its chunks' ids in order."""
+    Tokens of such a tokenizer never span white space, so that a text's ids are those of its white-space-separated
+    chunks in order. Equal chunks of the texts given together are cut and looked up once."""
 
     def __init__(self, source: str) -> None:
         from tokenizers import Tokenizer
@@ -74,27 +78,94 @@ class Ids:
         own = self.tokenizer.get_added_tokens_decoder().values()
         #: Texts that spell out a token of the tokenizer's own go to it as they are.
         self.added, self.folded = [t.content for t in own], [t.content.lower() for t in own if t.normalized]
-        self.type = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
-        self.code = np.dtype(self.type).char
-        self.chunks, self.words = Recent(CACHE), Recent(CACHE)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        new = self.chunks.missing(set().union(*texts))
-        cut = {c: _PIECES.findall(c.lower()) if _PLAIN.fullmatch(c) else [c] for c in new}
-        wanted = {w for x in cut.values() for w in x}
-        words = list(self.words.missing(wanted))
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[w] = array(self.code, e.ids).tobytes()
-        get = self.words.__getitem__
-        for c, x in cut.items():
-            self.chunks[c] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added) or self.folded and any(a in t.lower() for a in self.folded)}
-        cut = [[] if k in whole else re.split(r"[ \t\n\r]+", t) if _OTHER_SPACE.search(t) else t.split() for k, t in enumerate(texts)]
-        self.learn(cut)
-        get = self.chunks.__getitem__
-        return [np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.type) if k in whole else np.frombuffer(b"".join(map(get, c)), self.type) for k, c in enumerate(cut)]
+        size = self.tokenizer.get_vocab_size(True)
+        self.type = np.uint16 if size < 1 << 16 else np.uint32
+        #: No token's id: it stands at the end of each chunk.
+        self.edge = np.iinfo(self.type).max
+        self.words = Recent(CACHE)
+        #: Tokens that end a word, if the tokenizer marks them.
+        self.last, suffix = None, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last = np.zeros(size, bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab(True).items() if t.endswith(suffix)]] = True
+
+    def of_each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, one by one."""
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def of_plain(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, of words that are one piece each: many as one text, cut after tokens that end a word."""
+        if self.last is None:
+            return self.of_each(words)
+        out: list[bytes] = []
+        for k in range(0, len(words), JOINED):
+            some = words[k : k + JOINED]
+            text = " ".join(some)
+            if not any(a in text for a in (*self.added, *self.folded)):
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(some) and ends[-1] == len(ids):
+                    flat, at = ids.tobytes(), (ends * ids.itemsize).tolist()
+                    out += [flat[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+                    continue
+            out += self.of_each(some)
+        return out
+
+    def of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and where each chunk's begin and end."""
+        plain = [_PLAIN.fullmatch(c) is not None for c in chunks]
+        others = [c for c, p in zip(chunks, plain, strict=True) if not p]
+        cut = _PIECES.findall("\n".join([*compress(chunks, plain), ""]).lower())
+        pieces = [*cut, *chain.from_iterable((c, "\n") for c in others)]
+        alone = set(others)
+        new = self.words.missing(set(cut).union(alone) - {"\n"})
+        for some, of in ((list(new - alone), self.of_plain), (list(new & alone), self.of_each)):
+            self.words.update(zip(some, of(some), strict=True))
+        self.words["\n"] = self.type(self.edge).tobytes()
+        ids = np.frombuffer(b"".join(map(self.words.__getitem__, pieces)), self.type)
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        end = np.empty(len(chunks), np.int64)
+        begin = np.empty(len(chunks), np.int64)
+        end[order] = found = np.flatnonzero(ids == self.edge)
+        begin[order] = np.concatenate([[0], found[:-1] + 1]) if len(found) else found
+        return ids, begin, end
+
+    def of_lists(self, lists: pa.ListArray) -> list[np.ndarray]:
+        """The ids of each list of chunks."""
+        coded = lists.flatten().dictionary_encode()
+        ids, begin, end = self.of_chunks(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        length = (end - begin)[which]
+        after = np.concatenate([[0], np.cumsum(length)])
+        flat = ids[np.repeat(begin[which] - after[:-1], length) + np.arange(after[-1])]
+        at = after[lists.offsets.to_numpy()].tolist()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null text has none."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        whole = np.zeros(len(column), bool)
+        for some, of in ((self.added, column), (self.folded, pc.utf8_lower(column) if self.folded else column)):
+            for a in some:
+                whole |= pc.match_substring(of, a).to_numpy(zero_copy_only=False)
+        other = pc.match_substring_regex(column, _OTHER_SPACE).to_numpy(zero_copy_only=False) & ~whole
+        out = self.of_lists(pc.ascii_split_whitespace(pc.if_else(pa.array(whole | other), "", column)))
+        if other.any():
+            cut = [re.split(r"[ \t\n\r]+", t) for t in column.filter(pa.array(other)).to_pylist()]
+            for k, ids in zip(np.flatnonzero(other).tolist(), self.of_lists(pa.array(cut, pa.list_(pa.string()))), strict=True):
+                out[k] = ids
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array(self.tokenizer.encode(column[k].as_py(), add_special_tokens=False).ids, self.type)
+        return out
+
+
+def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most`` bytes of a column of texts."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(size) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
 
 
 def encoder(source: str) -> Ids:
@@ -164,9 +235,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             held = 0
 
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                some = batch.slice(k, 512)
-                for i, t in zip(some.column(0).to_pylist(), ids_of.encode([x or "" for x in some.column(1).to_pylist()]), strict=True):
+            for some in by_size(batch, 1, TOGETHER):
+                for i, t in zip(some.column(0).to_pylist(), ids_of.encode(some.column(1)), strict=True):
                     doc_ids.append(i)
                     tokens.append(np.concatenate([t, end]))
                     held += len(t) + 1

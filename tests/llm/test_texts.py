@@ -432,3 +432,30 @@ def test_packing_goes_to_the_cheapest_sequence_with_room():
             want.append((d, at, m, s, used[s]))
             used[s], spent[s], at, n = used[s] + m, spent[s] + m + m * m / 1024, at + m, n - m
     assert got == want and used == room
+
+
+def test_packing_asks_the_tokenizer_for_many_words_at_once():
+    import random
+
+    ids = packing.Ids(packing.tokenizer_source())
+    own, asked = ids.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, some, **options):
+            asked.extend(some)
+            return own.encode_batch_fast(some, **options)
+
+        def encode(self, text, **options):
+            return own.encode(text, **options)
+
+    ids.tokenizer = Counting()
+    plain = [" ".join(f"Wörd{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + j)}x{k % 10}, end." for k in range(600)) for j in range(5)]
+    assert [x.tolist() for x in ids.encode(plain)] == [own.encode(t, add_special_tokens=False).ids for t in plain]
+    assert len(asked) < 20  # 3000 words and more
+    # Any characters, with a cache that is too small for the words of one call.
+    ids.words = packing.Recent(50)
+    random.seed(3)
+    odd = ["".join(random.choice("abcXéÜß 09'!?.,<|>\n\t́中кЖΣς 　\x0b\x00\U0001f600½") for _ in range(random.randint(0, 50))) for _ in range(500)]
+    odd += ["", " \t", "a<|endoftext|>b", " ", "x" * 3000 + "!" * 300]
+    for _ in range(2):
+        assert [x.tolist() for x in ids.encode(odd)] == [own.encode(t, add_special_tokens=False).ids for t in odd]
