@@ -3,9 +3,11 @@
 1. Every line of every text is judged, each by itself and in its wrapped paragraph. A line goes on in the next one
    unless it ends a sentence or either has no words; of such a run, the lines from each one on that hold LONGEST
    more words (no template has more) are one unit, so that a notice is whole in one of them however it is
-   wrapped.
+   wrapped. Parts of a unit (windows of WIDTHS words) are units too, so that a notice counts however long the line is
+   that it stands in.
 2. A softmax regression on sparse word 1- and 2-grams names the family or ``unknown``. Its vocabulary is that of the
-   templates and everyday sentences. It is trained from the
+   templates and everyday sentences; an n-gram weighs one by the root of the number of all n-grams of the unit, known or
+   not, so that a word of a template makes no notice of a line of other words. It is trained from the
    templates (whole, by sentence and by parts) and, for ``unknown``, from everyday sentences
    and at most SAMPLE lines of the corpus (of the least hash) that hold an n-gram without
    which a first model names nothing, and that it calls unknown or that have hardly anything of any template.
@@ -14,14 +16,15 @@
    threshold that at most FALSE_RATE of the unknown rows pass.
 4. A prediction is confirmed by comparing the unit to the templates of its family: the share of a
    template's 2-grams that the unit has must reach CONFIRM. A line takes the result of the nearest confirmed
-   unit that it is in (the one with the fewest lines where equally near), but of several lines only where none
-   of them is confirmed by itself; without one, its own.
+   unit that it is in (the one with the fewest lines where equally near, a whole line before its parts), but of several
+   lines only where none of them is confirmed by itself; without one, its own. Parts count only if confirmed.
 
-What cannot count is left out before n-grams are made, by two patterns that lose nothing. ``LicenceModel.needed``: from
+What cannot count is left out before n-grams are made, by two patterns and a bound that lose nothing. ``LicenceModel.needed``: from
 the trained weights, a set of n-grams without any of which no text, whatever it says, reaches a family; a line
 without them is unknown. ``distinctive``: of each template more 2-grams than the share that CONFIRM leaves open,
 the longest ones; a text without any of them has no unit that step 4 confirms, and units of several lines
-count only if confirmed. Weights and templates are tables of a fixed size, broadcast.
+count only if confirmed. ``LicenceModel.possible``: a bound on what the known n-grams of a line can give any family; a
+line under it is unknown. Weights and templates are tables of a fixed size, broadcast.
 
 Result rows are the lines with a family other than ``unknown``.
 
@@ -37,12 +40,15 @@ import math
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
 
 SAMPLE, FALSE_RATE, CONFIRM, FOLDS = 500, 0.01, 0.6, 4
+#: Places of the table of gains in which lines are looked up before they are judged.
+PLACES = 4096
 #: A line with less than this share of the 2-grams of any template is none of a licence, whatever the first model says.
 STRANGE = 0.15
 UNKNOWN = "unknown"
@@ -135,6 +141,8 @@ _WORD = re.compile(r"[a-z0-9]+")
 #: A line that ends a sentence.
 _END = r"[.!?\u2026\u3002\uff01\uff1f][)\]\"'\u00bb\u201d\u2019]*\s*$"
 LONGEST = max(len(_WORD.findall(t.lower())) for ts in TEMPLATES.values() for t in ts)
+#: Words of a part; one begins at every half of that, so that a template is whole in one of at most four times its words or eight.
+WIDTHS = [8 << k for k in range(((LONGEST - 2) // 4).bit_length() + 1)]
 
 
 def grams(text: str) -> set[str]:
@@ -180,14 +188,52 @@ def _rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def lines(rows: DataFrame, gate: str) -> DataFrame:
-    """doc_id, key, paragraph, lines, words, covers of every line with a match of the gate."""
+    """doc_id, key, paragraph, words of every line with a match of the gate."""
     rows = rows.filter(F.lower("text").rlike(gate)).select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    rows = rows.filter(F.lower("line").rlike(gate))
-    return rows.select("doc_id", "key", "paragraph", F.lit(1).alias("lines"), words_of(F.col("line")).alias("words"), F.array("paragraph").alias("covers"))
+    return rows.filter(F.lower("line").rlike(gate)).select("doc_id", "key", "paragraph", words_of(F.col("line")).alias("words"))
+
+
+def parts(words: Column, places: Column, begin: Column) -> Column:
+    """Parts of a unit that may be confirmed, starting in its first ``begin`` words: lines, part, words, covers."""
+    gate = pattern_of(distinctive())
+
+    def of(width: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(begin, F.lit(1)) - 1, F.lit(width // 2))
+        at = F.filter(at, lambda k: F.concat_ws(" ", F.slice(words, k + 1, width)).rlike(gate))
+        cut = F.transform(at, lambda k: _unit(F.slice(words, k + 1, width), F.array_distinct(F.slice(places, k + 1, width)), True))
+        return F.when(F.size(words) > width, cut).otherwise(F.array().cast(UNITS))
+
+    return F.concat(*map(of, WIDTHS))
+
+
+UNITS = "array<struct<lines:int,part:boolean,words:array<string>,covers:array<int>>>"
+
+
+def _unit(words: Column, covers: Column, part: bool) -> Column:
+    return F.struct(F.size(covers).alias("lines"), F.lit(part).alias("part"), words.alias("words"), covers.alias("covers"))
+
+
+def known_of(words: Column, vocabulary: list[str]) -> Column:
+    """The distinct n-grams of an array of words that are in the vocabulary, which has the words of its 2-grams."""
+    single = [g for g in vocabulary if " " not in g]
+    count = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.when(a.isin(single) & b.isin(single), F.concat_ws(" ", a, b)))
+    return F.array_distinct(F.concat(F.filter(words, lambda w: w.isin(single)), F.filter(pairs, lambda p: p.isin([g for g in vocabulary if " " in g]))))
+
+
+def single(found: DataFrame, model: LicenceModel) -> DataFrame:
+    """doc_id, key, paragraph, lines, part, words, covers of every line that the model may name, and of the parts of those
+    that may have one confirmed."""
+    found = found.withColumn("known", known_of(F.col("words"), sorted(model.vocabulary)))
+    words, none = F.col("words"), F.array().cast(UNITS)
+    near = (F.size(words) > WIDTHS[0]) & F.exists("known", lambda g: g.isin(distinctive()))
+    some = F.when(near, parts(words, F.array_repeat("paragraph", F.size(words)), F.size(words))).otherwise(none)
+    whole = F.when(model.possible(F.col("known"), words), F.array(_unit(words, F.array("paragraph"), False))).otherwise(none)
+    return found.select("doc_id", "key", "paragraph", F.inline(F.concat(whole, some)))
 
 
 def wrapped(rows: DataFrame) -> DataFrame:
-    """As ``lines``: every unit of several lines, of the texts that can have a confirmed one."""
+    """As ``single``: every unit of several lines, and its parts in several lines, of the texts that can have a confirmed one."""
     texts = rows.filter(F.instr("text", "\n") > 0).filter(F.lower("text").rlike(pattern_of(distinctive()))).distinct()
     split = texts.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     split = split.select("doc_id", "key", "paragraph", words_of(F.col("line")).alias("words"), (~F.col("line").rlike(_END)).alias("on"))
@@ -200,15 +246,17 @@ def wrapped(rows: DataFrame) -> DataFrame:
     runs = split.filter("not (begins and last)").withColumn("next", F.collect_list(F.struct("paragraph", "words")).over(ahead)).filter("not last")
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<paragraph:int,words:array<string>>>").alias("taken"))
     more = F.aggregate("next", start, lambda a, x: F.when(a["n"] >= LONGEST, a).otherwise(F.struct((a["n"] + F.size(x["words"])).alias("n"), F.concat(a["taken"], F.array(x)).alias("taken"))), lambda a: a["taken"])
-    runs = runs.select("doc_id", "key", "paragraph", F.concat(F.array(F.struct("paragraph", "words")), more).alias("unit"))
-    return runs.select("doc_id", "key", "paragraph", F.size("unit").alias("lines"), F.flatten(F.transform("unit", lambda x: x["words"])).alias("words"), F.transform("unit", lambda x: x["paragraph"]).alias("covers"))
+    runs = runs.select("doc_id", "key", "paragraph", F.size("words").alias("begin"), F.concat(F.array(F.struct("paragraph", "words")), more).alias("unit"))
+    runs = runs.select("doc_id", "key", "paragraph", "begin", F.flatten(F.transform("unit", lambda x: x["words"])).alias("words"), F.flatten(F.transform("unit", lambda x: F.array_repeat(x["paragraph"], F.size(x["words"])))).alias("places"), F.transform("unit", lambda x: x["paragraph"]).alias("covers"))
+    some = F.filter(parts(F.col("words"), F.col("places"), F.col("begin")), lambda x: x["lines"] > 1)
+    return runs.select("doc_id", "key", "paragraph", F.inline(F.concat(F.array(_unit(F.col("words"), F.col("covers"), False)), some)))
 
 
 def _matrix(sets: list[set[str]], vocabulary: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(sets), len(vocabulary)), np.float32)
     for k, s in enumerate(sets):
         at = [vocabulary[g] for g in s if g in vocabulary]
-        x[k, at] = 1 / math.sqrt(max(1, len(at)))
+        x[k, at] = 1 / math.sqrt(max(1, len(s)))
     return x
 
 
@@ -253,7 +301,7 @@ class LicenceModel:
         # Background that has a template's 2-grams nearly whole may be a notice itself and teaches nothing.
         notices = [p for *_, p in template_pairs()]
         plain = [s for s in background if not any(n and len(n & s) >= 0.5 * len(n) for n in notices)]
-        rows += [(s & self.vocabulary.keys(), none, j % FOLDS) for j, s in enumerate(plain)]
+        rows += [(s, none, j % FOLDS) for j, s in enumerate(plain)]
         x, y, fold = _matrix([s for s, *_ in rows], self.vocabulary), np.array([c for _, c, _ in rows]), np.array([f for *_, f in rows])
         z = np.zeros((len(rows), none + 1))
         for f in range(FOLDS):
@@ -272,7 +320,7 @@ class LicenceModel:
     def needed(self) -> list[str]:
         """N-grams without any of which no set of n-grams is named: the fewest, by their best weight, for which the rest
         cannot bring any family over ``unknown``. With m known n-grams a family gains the sum of its weights over
-        ``unknown`` by the root of m, at most the best such share of the largest weights that are left."""
+        ``unknown`` by the root of m or more, at most the best such share of the largest weights that are left."""
         gain = self.weights[:, :-1] - self.weights[:, -1:]
         ahead = self.bias[:-1] - self.bias[-1]
         order = np.argsort(-gain.max(axis=1), kind="stable")
@@ -289,6 +337,26 @@ class LicenceModel:
         name = sorted(self.vocabulary, key=self.vocabulary.__getitem__)
         return [name[i] for i in order[:low]]
 
+    def possible(self, known: Column, words: Column) -> Column:
+        """False only for words that ``predict`` calls unknown, whatever their order: what the known n-grams give each
+        family over ``unknown``, by the root of the least number of n-grams that so many distinct words have, does not
+        make up for the bias. The gains stand in a table at the hash of the n-gram, of equal places the best."""
+        gain = self.weights[:, :-1] - self.weights[:, -1:]
+        n = gain.shape[1]
+        places: dict[int, np.ndarray] = {}
+        for g, i in self.vocabulary.items():
+            at = xxhash.xxh64_intdigest(g.encode(), seed=42) % PLACES
+            places[at] = np.maximum(places[at], gain[i]) if at in places else gain[i]
+        flat = np.zeros((PLACES, n))
+        flat[list(places)] = list(places.values())
+        table = F.split(F.lit(",".join(map(repr, flat.ravel().tolist()))), ",").cast("array<double>")
+        zero = F.split(F.lit(",".join(["0"] * n)), ",").cast("array<double>")
+        at = F.transform(known, lambda g: (F.pmod(F.xxhash64(g), F.lit(PLACES)) * n + 1).cast("int"))
+        gains = F.aggregate(at, zero, lambda a, k: F.zip_with(a, F.slice(table, k, F.lit(n)), lambda x, y: x + y))
+        ahead = F.split(F.lit(",".join(map(repr, (self.bias[:-1] - self.bias[-1]).tolist()))), ",").cast("array<double>")
+        root = F.sqrt(F.greatest(2 * F.size(F.array_distinct(words)) - 1, F.lit(1)))
+        return F.exists(F.zip_with(gains, ahead, lambda x, y: y * root + F.greatest(x, F.lit(0.0))), lambda x: x > -1e-6)
+
     def predict(self, s: set[str]) -> tuple[str, float]:
         """Family (or unknown) and probability, as the DataFrame form has them."""
         z = (_matrix([s], self.vocabulary).astype(float) @ self.weights + self.bias) / self.temperature
@@ -312,16 +380,15 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_
     """doc_id, paragraph, family, probability, template, similarity, confirmed for each line that is not unknown."""
     texts = _rows(docs, id_col, text_col)
     model = model or train(texts)
-    rows = lines(texts, pattern_of(model.needed())).unionByName(wrapped(texts)).withColumn("unit", F.monotonically_increasing_id())
+    rows = single(lines(texts, pattern_of(model.needed())), model).unionByName(wrapped(texts)).withColumn("unit", F.monotonically_increasing_id())
     rows = materialise(rows, "units")  # read twice; repeated rows are units of their own
     spark = docs.sparkSession
     names = [f"z{k}" for k in range(len(model.classes))]
     weights = spark.createDataFrame([(g, *map(float, model.weights[i])) for g, i in model.vocabulary.items()], "gram string, " + ", ".join(f"{n} double" for n in names))
-    keys = ["unit", "doc_id", "key", "paragraph", "lines"]
-    each = rows.select(*keys, "covers", F.explode(gram_column(F.col("words"))).alias("gram"))
+    each = rows.select("unit", gram_column(F.col("words")).alias("grams")).select("unit", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
     # The vocabulary is fixed by the templates (about a thousand rows): proven small.
     known = each.join(F.broadcast(weights), "gram")
-    summed = known.groupBy(*keys).agg(F.first("covers").alias("covers"), F.count("z0").alias("m"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
+    summed = known.groupBy("unit", "m").agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
     z = [(F.lit(float(b)) + F.col(n) / F.sqrt(F.greatest("m", F.lit(1)))) / F.lit(model.temperature) for n, b in zip(names, model.bias, strict=True)]
     top = F.greatest(*z)
     summed = summed.withColumn("e", F.array(*[F.exp(x - top) for x in z]))
@@ -331,20 +398,20 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_
     best = F.array_max(F.slice("p", 1, n))
     family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position(F.slice("p", 1, n), best).cast("int"))
     sure = (1 - F.col("p")[n] >= model.threshold) & (best > F.col("p")[n])
-    named = summed.filter(sure).select(*keys, "covers", F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(sure, best).otherwise(F.col("p")[n]).alias("probability"))
+    named = summed.filter(sure).select("unit", family.alias("family"), best.alias("probability")).join(rows, "unit")
     pairs = [(f, t, len(s), g) for f, t, s in template_pairs() for g in sorted(s)]
     templates = spark.createDataFrame(pairs, "family string, template string, size int, gram string")
-    shared = each.join(F.broadcast(templates), "gram").groupBy(*keys, "family", "template", "size").agg(F.count(F.lit(1)).alias("n"))
+    shared = named.select("unit", "family", F.explode(gram_column(F.col("words"))).alias("gram")).join(F.broadcast(templates), ["family", "gram"]).groupBy("unit", "template", "size").agg(F.count(F.lit(1)).alias("n"))
     share = (F.col("n") / F.col("size")).alias("similarity")
-    nearest = shared.select(*keys, "family", "template", share).groupBy(*keys, "family").agg(F.max(F.struct("similarity", "template")).alias("t"))
-    out = named.alias("a").join(nearest.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("unit", "family")], "left")
+    nearest = shared.select("unit", "template", share).groupBy("unit").agg(F.max(F.struct("similarity", "template")).alias("t"))
+    out = named.alias("a").join(nearest.alias("b"), "unit", "left")
     similarity = F.coalesce(F.col("b.t.similarity"), F.lit(0.0))
-    confirmed = (F.col("a.family") != UNKNOWN) & (similarity >= CONFIRM)
-    judged = out.select("a.doc_id", "a.key", F.col("a.paragraph").alias("start"), "a.lines", "a.covers", "a.family", "a.probability", F.col("b.t.template").alias("template"), similarity.alias("similarity"), confirmed.alias("confirmed"))
-    judged = judged.filter("lines = 1 or confirmed").withColumn("paragraph", F.explode("covers"))
+    confirmed = similarity >= CONFIRM
+    judged = out.select("a.doc_id", "a.key", F.col("a.paragraph").alias("start"), "a.lines", "a.part", "a.covers", "a.family", "a.probability", F.col("b.t.template").alias("template"), similarity.alias("similarity"), confirmed.alias("confirmed"))
+    judged = judged.filter("lines = 1 and not part or confirmed").withColumn("paragraph", F.explode("covers"))
     alone = F.max(F.col("confirmed") & (F.col("lines") == 1)).over(Window.partitionBy("doc_id", "key", "paragraph"))
-    judged = judged.withColumn("alone", alone).withColumn("taken", F.max("alone").over(Window.partitionBy("doc_id", "key", "start", "lines"))).filter("lines = 1 or not taken")
-    order = F.struct("confirmed", "similarity", -F.col("lines"), "start")
+    judged = judged.withColumn("alone", alone).withColumn("taken", F.max("alone").over(Window.partitionBy("doc_id", "key", "covers"))).filter("lines = 1 or not taken")
+    order = F.struct("confirmed", "similarity", -F.col("lines"), ~F.col("part"), "start", "probability", "family")
     best = judged.groupBy("doc_id", "key", "paragraph").agg(F.max_by(F.struct("family", "probability", "template", "similarity", "confirmed"), order).alias("best"))
     return best.select("doc_id", "paragraph", "best.*")
 

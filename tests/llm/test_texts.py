@@ -459,3 +459,28 @@ def test_packing_asks_the_tokenizer_for_many_words_at_once():
     odd += ["", " \t", "a<|endoftext|>b", " ", "x" * 3000 + "!" * 300]
     for _ in range(2):
         assert [x.tolist() for x in ids.encode(odd)] == [own.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_licences_words_of_a_template_are_no_notice(make_docs):
+    """Lines of which a model knows one word alone, whatever background the corpus gives."""
+    from random import Random
+
+    random = Random(5)
+    own = ["".join(random.choice("aeiourstlnmdc") for _ in range(random.randint(3, 9))) for _ in range(3000)]
+    rows = [(k, " ".join(random.sample(own, 6) + [random.choice(("no", "any", "by", "mit", "all"))] + random.sample(own, 6)), "es") for k in range(400)]
+    rows += [(1000 + k, ts[0], "en") for k, ts in enumerate(licences.TEMPLATES.values())]
+    model, found = scanned(make_docs(rows))
+    assert {(i, f) for (i, _), (f, _) in found.items()} == {(1000 + k, f) for k, f in enumerate(licences.TEMPLATES)}
+    first = licences.LicenceModel([])
+    assert all(first.predict(licences.grams(t))[0] == licences.UNKNOWN for i, t, _ in rows if i < 1000)
+
+
+def test_licences_find_notices_in_long_lines(make_docs):
+    other = " ".join(licences.EVERYDAY[::-1] + licences.EVERYDAY)
+    notices = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(licences._WORD.findall(t.lower())) > 3]
+    rows = [(k, f"{other} {t} {other}", "en") for k, (_, t) in enumerate(notices)]
+    broken = licences.TEMPLATES["mpl"][0].split()
+    rows += [(100, f"{other} {' '.join(broken[:8])}\n{' '.join(broken[8:])} {other}", "en"), (101, other, "en")]
+    found = scanned(make_docs(rows))[1]
+    assert {i: f for (i, _), (f, sure) in found.items() if sure} == {k: f for k, (f, _) in enumerate(notices)} | {100: "mpl"}
+    assert (100, 0) in found and (100, 1) in found
