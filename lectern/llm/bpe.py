@@ -26,16 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Kept, table
+from lectern.llm.common import Kept, Recent, by_size, table
 
 LONG = 256
-#: Entries of a worker's cache of words, and of its cache of segments; each is emptied beyond that.
-CACHE = 500_000
-#: Documents that a worker cuts and encodes together.
-TOGETHER = 2048
+#: Entries of each generation of a worker's cache of words; there are two generations.
+CACHE = 400_000
+#: Bytes of texts that a worker cuts and encodes together (one text at least).
+TOGETHER = 1 << 23
+
+#: Any white space. A lone space between two characters that are no space starts a new segment; no word goes across.
+_SPACE = "[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_UNUSUAL = f"^ | $|{_SPACE}{_SPACE}"
 
 _STEP = """
 WITH RECURSIVE steps(w, step, ids) AS (
@@ -88,8 +93,6 @@ class Coder:
         import regex
 
         self.find = regex.compile(pattern).findall
-        #: A lone space between two characters that are no space starts a new segment; no word goes across.
-        self.unusual = regex.compile(r"\s |\s\s|^ | \s| $").search
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
@@ -100,9 +103,8 @@ class Coder:
         named = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM named")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.back: dict[str, bytes] = {}
+        #: Of each word: its ids as decimals, each with a comma behind it, and the bytes they decode to.
+        self.words = Recent(CACHE)
 
     def solved(self, query: str, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Of each word: its ids, found by the recursive query, as decimals; and the bytes they decode to."""
@@ -118,42 +120,57 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """Put words that have not been met yet into the cache."""
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > CACHE:
-            self.words, new = {}, words
-        coded = [(w, w.encode()) for w in new]
+        coded = [(w, w.encode()) for w in self.words.missing(words)]
         for query, some in ((_STEP, [x for x in coded if len(x[1]) <= LONG]), (_STEP_LONG, [x for x in coded if len(x[1]) > LONG])):
             for at in range(0, len(some), 65_536):
                 part = some[at : at + 65_536]
-                self.words.update(zip([x[0] for x in part], self.solved(query, [x[1] for x in part]), strict=True))
-
-    def cut(self, text: str) -> list[str]:
-        """Keys of the text's segments: one with a leading space stands for what follows it, others for a space and itself."""
-        if self.unusual(text) or not text:
-            return [" " + text] if text else []
-        keys = text.split(" ")
-        keys[0] = " " + keys[0]
-        return keys
-
-    def documents(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
-        """Per text: number of ids, decimal ids joined by commas, decoded bytes."""
-        cut = [self.cut(t) for t in texts]
-        needed = set().union(*cut)
-        new = needed.difference(self.ids)
-        if len(self.ids) + len(new) > CACHE:
-            self.ids, self.back, new = {}, {}, needed
-        words = {s: self.find(s[1:] if s[0] == " " else " " + s) for s in new}
-        self.learn(set().union(*words.values()))
-        for s, some in words.items():
-            found = [self.words[w] for w in some]
-            self.ids[s], self.back[s] = found[0] if len(found) == 1 else (b",".join([f[0] for f in found]), b"".join([f[1] for f in found]))
-        out = []
-        for segments in cut:
-            ids = b",".join(map(self.ids.__getitem__, segments))
-            out.append((ids.count(b",") + 1 if ids else 0, ids, b"".join(map(self.back.__getitem__, segments))))
-        for s in [s for s in new if len(s) > 4096]:  # whole unusual texts are not worth keeping
-            del self.ids[s], self.back[s]
-        return out
+                self.words.update(zip([x[0] for x in part], [(ids + b",", back) for ids, back in self.solved(query, [x[1] for x in part])], strict=True))
+
+    def segments(self, usual: list[str], whole: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all segments, a space before each of the usual ones, and where segments begin, with the end as the last."""
+        words = self.find("".join([" " + s for s in usual]))
+        places = pa.array(words, pa.string())
+        begins = np.flatnonzero(pc.starts_with(places, " ").to_numpy(zero_copy_only=False))
+        # Words that leave nothing out and begin where segments do, as the public pattern's.
+        at = np.concatenate([[0], np.cumsum(pc.utf8_length(places).to_numpy())])
+        if not np.array_equal(at[begins], np.cumsum([0, *(len(s) + 1 for s in usual)])[:-1]):
+            cut = [self.find(" " + s) for s in usual]
+            words = [w for x in cut for w in x]
+            begins = np.cumsum([0, *map(len, cut)])[:-1]
+        rest = list(map(self.find, whole))
+        ends = len(words) + np.cumsum([0, *map(len, rest)])
+        words += [w for x in rest for w in x]
+        return words, np.concatenate([begins, ends]).astype(np.int64)
+
+    def documents(self, texts: list[str] | pa.Array) -> list[tuple[int, bytes, bytes]]:
+        """Per text: number of ids, decimal ids joined by commas, decoded bytes. Equal segments of the texts are cut and looked up once."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        unusual = pc.match_substring_regex(column, _UNUSUAL)
+        lists = pc.split_pattern(pc.if_else(unusual, "", column), " ")
+        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        first = np.zeros(len(flat), bool)
+        first[at[:-1]] = True
+        coded = flat.filter(pa.array(~first)).dictionary_encode()
+        # The first segment has no space before it; an unusual text is one segment.
+        alone = pc.if_else(unusual, column, flat.take(pa.array(at[:-1])))
+        words, begins = self.segments(coded.dictionary.to_pylist(), alone.to_pylist())
+        which = np.empty(len(flat), np.int64)
+        which[~first] = coded.indices.to_numpy()
+        which[first] = len(coded.dictionary) + np.arange(len(column))
+        known = pa.array(words, pa.string()).dictionary_encode()
+        distinct = known.dictionary.to_pylist()
+        self.learn(set(distinct))
+        found = list(map(self.words.__getitem__, distinct))
+        ids, back = (_joined(_joined([f[k] for f in found], known.indices, begins), which, at) for k in (0, 1))
+        return [(i.count(b","), i[:-1], b) for i, b in zip(ids.to_pylist(), back.to_pylist(), strict=True)]
+
+
+def _joined(some: list[bytes] | pa.LargeBinaryArray, which: pa.Array | np.ndarray, edges: np.ndarray) -> pa.LargeBinaryArray:
+    """What the places ``which`` name, one after the other, as one value from each edge to the next."""
+    taken = (pa.array(some, pa.large_binary()) if isinstance(some, list) else some).take(pa.array(which))
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[edges])), data or pa.py_buffer(b"")])
 
 
 def coder(ranks: dict[bytes, int], pattern: str) -> Coder:
@@ -172,9 +189,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(*shared.value)
         for batch in batches:
-            for k in range(0, len(batch), TOGETHER):
-                some = batch.slice(k, TOGETHER)
-                done = own.documents([t or "" for t in some.column(1).to_pylist()])
+            for some in by_size(batch, 1, TOGETHER):
+                done = own.documents(some.column(1))
                 columns = {"doc_id": some.column(0), "n_tokens": [d[0] for d in done], "ids_sha256": [hashlib.sha256(d[1]).hexdigest() for d in done], "decoded_sha256": [hashlib.sha256(d[2]).hexdigest() for d in done]}
                 if with_ids:
                     columns |= {"ids": [[int(x) for x in d[1].split(b",")] if d[1] else [] for d in done], "decoded": [d[2] for d in done]}

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Kept, table
+from lectern.llm.common import Kept, Recent, by_size, table
 
 CAPACITY, END_ID = 2048, 1
 GROUP_TOKENS = 4_000_000
@@ -47,23 +47,6 @@ _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
 _OTHER_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-class Recent(dict):
-    """The entries of this generation; those of the one before are taken over when they are met again."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.before = most, {}
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Which of the keys are in neither generation; the others are in this one from now on."""
-        if len(self) > self.most:
-            self.before = dict(self)
-            self.clear()
-        new = keys.difference(self)
-        old = new.intersection(self.before)
-        self.update(zip(old, map(self.before.__getitem__, old), strict=True))
-        return new - old
-
-
 class Ids:
     """Ids of texts by a Hugging Face tokenizer that drops white space, with a cache of words.
 
@@ -159,15 +142,6 @@ class Ids:
         return out
 
 
-def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``most`` bytes of a column of texts."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(size) // most
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def encoder(source: str) -> Ids:
     return Kept.get("packing", source, lambda: Ids(source))  # type: ignore[return-value]
 

@@ -484,3 +484,25 @@ def test_licences_find_notices_in_long_lines(make_docs):
     found = scanned(make_docs(rows))[1]
     assert {i: f for (i, _), (f, sure) in found.items() if sure} == {k: f for k, (f, _) in enumerate(notices)} | {100: "mpl"}
     assert (100, 0) in found and (100, 1) in found
+
+
+def test_bpe_cuts_equal_segments_once():
+    from random import Random
+
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = bpe.public_vocabulary()
+    library = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own, calls = bpe.Coder(ranks, pattern), []
+    find = own.find
+    own.find = lambda text: calls.append(text) or find(text)
+    random = Random(6)
+    texts = [" ".join(f"wörd{random.randint(0, 3000)}, it's" for _ in range(400)) for _ in range(20)]
+    ids = [library.encode_ordinary(t) for t in texts]
+    assert own.documents(texts) == [(len(i), ",".join(map(str, i)).encode(), t.encode()) for i, t in zip(ids, texts, strict=True)]
+    assert len(calls) < 50  # of more than 2000 segments
+    # Any white space at any place, with a cache that is too small for the words of one call.
+    own.words.most = 20
+    odd = ["".join(random.choice("abé0 '.\n\t\x1c\x85 　中\x00\U0001f600") for _ in range(random.randint(0, 40))) for _ in range(600)]
+    for some in (odd, odd[:100], ["", " ", "a\n"], []):
+        ids = [library.encode_ordinary(t) for t in some]
+        assert own.documents(some) == [(len(i), ",".join(map(str, i)).encode(), t.encode()) for i, t in zip(ids, some, strict=True)]
