@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import full_match, is_appendix_head, is_pinyin_body, is_unit_title
-from lectern.functions.text import LINE_END, compact, normalise_spaces
+from lectern.functions.text import LINE_END, OTHER_LINE_END, compact, let, normalise_spaces
 
 
 def line_array(text: Column) -> Column:
-    """The lines of a text; the empty piece after a final line end is none."""
-    pieces = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
-    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    """The lines of a text; the empty piece after a final line end is none. A text is split once, and without a pattern
+    where line feeds are its only line ends."""
+    text = F.coalesce(text, F.lit(""))
+    pieces = F.when(text.rlike(OTHER_LINE_END), F.split(text, LINE_END, -1)).otherwise(F.split(text, "\n", -1))
+    return let(pieces, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def explode_lines(docs: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -94,14 +96,24 @@ def contents_region(lines: DataFrame, part: list[str], start: list[str], ends: l
 
 def body_bounds(lines: DataFrame, part: list[str], scan: int = 500, override: int | None = None, is_start: Column | None = None, is_end: Column | None = None) -> DataFrame:
     """Per part: body_start (first unit title among the first lines, else 0; or the override, clamped), body_end
-    (first appendix head from there, else the number of lines), n_lines."""
+    (first appendix head from there, else the number of lines), n_lines.
+
+    One pass: heads among the lines that a start can be in are kept by number, of later ones only the first."""
     start_flag = is_unit_title(F.col("compact")) if is_start is None else is_start
     end_flag = is_appendix_head(F.col("compact")) if is_end is None else is_end
-    first = lines.groupBy(*part).agg(F.min(F.when(start_flag & (F.col("line_no") < scan), F.col("line_no"))).alias("found"), (F.max("line_no") + 1).alias("n_lines"))
+    most = max(scan if override is None else override, 0)
+    no, early = F.col("line_no"), F.col("line_no") < most
+    flags = lines.select(*part, "line_no", F.when(no < scan, start_flag).alias("is_start"), end_flag.alias("is_end"))
+    first = flags.groupBy(*part).agg(
+        F.min(F.when(F.col("is_start"), no)).alias("found"),
+        F.collect_list(F.when(F.col("is_end") & early, no)).alias("heads"),
+        F.min(F.when(F.col("is_end") & ~early, no)).alias("later"),
+        (F.max("line_no") + 1).alias("n_lines"),
+    )
     start = F.coalesce("found", F.lit(0)) if override is None else F.greatest(F.lit(0), F.least(F.lit(override), F.col("n_lines") - 1))
-    first = first.select(*part, start.alias("body_start"), "n_lines")
-    ends = lines.select(*part, "line_no", end_flag.alias("is_end")).filter("is_end").join(first, part).filter("line_no >= body_start").groupBy(*part).agg(F.min("line_no").alias("e"))
-    return first.join(ends, part, "left").select(*part, "body_start", F.coalesce("e", "n_lines").alias("body_end"), "n_lines")
+    first = first.withColumn("body_start", start)
+    head = F.array_min(F.filter("heads", lambda n: n >= F.col("body_start")))
+    return first.select(*part, "body_start", F.coalesce(head, F.col("later"), F.col("n_lines")).alias("body_end"), "n_lines")
 
 
 def cut_text(lines: DataFrame, spans: DataFrame, part: list[str], keys: list[str]) -> DataFrame:
