@@ -12,6 +12,8 @@ from lectern.operators.sequences import chunk_ends
 #: The kinds of entries that are looked for in the body.
 ANCHORED = ("lesson", "sublesson", "garden", "reading_club", "block_activity", "toc_belt")
 WINDOW_SLACK = 12
+#: Fixed value: ends share the hash of their last characters, so many or a multiple of it.
+BLOCK = 16
 
 
 def title_keys(entry: Column) -> Column:
@@ -36,32 +38,49 @@ def title_keys(entry: Column) -> Column:
     return F.array_distinct(F.filter(made, lambda k: F.length(k) >= 2))
 
 
+def once(rows: DataFrame, value: str, name: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``value`` as ``name``. A condition on the name is not pushed below this, where it would compute the
+    value a second time."""
+    return rows.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def single_hits(lines: DataFrame, keys: DataFrame, part: list[str]) -> DataFrame:
     """Lines that equal a key: ``part``, the columns of ``keys``, line_no, compact. An equi-join."""
     own = [c for c in part if c in keys.columns]
-    return lines.select(*part, "line_no", F.col("compact").alias("key")).join(keys, [*own, "key"])
+    return once(lines, "compact", "key", [*part, "line_no"]).join(keys, [*own, "key"])
 
 
 def _ends(rows: DataFrame, merged: str, keys: DataFrame, part: list[str], slack: int) -> DataFrame:
     """``rows`` with the key that ends ``merged``, at most ``slack`` characters shorter.
 
-    An equi-join on a hash of the end, not a nested loop: only ends as long as some key are made, and what is shuffled
-    for each is a number. The text is compared where the numbers agree."""
-    lengths = keys.agg(F.collect_set(F.length("key")).alias("lengths"))  # one row of distinct lengths
-    n = F.length(merged)
-    cuts = F.filter("lengths", lambda k: (k <= n) & (k >= n - slack) & (k > 0))
-    cut = rows.join(F.broadcast(lengths)).withColumn("k", F.explode(cuts)).drop("lengths")
-    cut = cut.withColumn("end_hash", F.xxhash64(F.substring(F.col(merged), n - F.col("k") + 1, F.col("k"))))
+    An equi-join on the length and 128 bits of the end, not a nested loop: a row makes at most ``slack`` + 1 ends, and
+    what is shuffled for each is numbers, without any text of the row. An end is hashed as its last characters, a multiple
+    of ``BLOCK``, and the few before these, so that the ends of a row share the hash of what is long."""
+    hashes = lambda s: (F.xxhash64(s), F.xxhash64(F.lit(1), s))
+    others = [c for c in rows.columns if c != merged]
+    blocks = range(slack // BLOCK + 2)
+    sized = rows.withColumn("n_", F.length(merged)).filter("n_ > 0")
+    tails = []
+    for j in blocks:
+        long = F.greatest(F.lit(0), (F.floor(F.col("n_") / BLOCK).cast("int") - j) * BLOCK)
+        tails += [h.alias(f"t{k}_{j}") for k, h in enumerate(hashes(F.substring(F.col(merged), F.col("n_") - long + 1, long)))]
+    cut = sized.select(*others, "n_", F.substring(merged, 1, slack + BLOCK).alias("head_"), *tails)
+    cut = cut.withColumn("k", F.explode(F.sequence(F.greatest(F.col("n_") - slack, F.lit(1)), F.col("n_"))))
+    at = F.floor(F.col("n_") / BLOCK) - F.floor(F.col("k") / BLOCK)
+    tail = [F.coalesce(*[F.when(at == j, F.col(f"t{k}_{j}")) for j in blocks]) for k in range(2)]
+    bits = lambda head, t: [F.xxhash64(head, t[0]).alias("h1"), F.xxhash64(F.lit(1), head, t[1]).alias("h2")]
+    cut = cut.select(*others, "k", *bits(F.substring(F.col("head_"), F.col("n_") - F.col("k") + 1, F.col("k") % BLOCK), tail))
     own = [c for c in part if c in keys.columns]
-    hit = cut.join(keys.withColumn("end_hash", F.xxhash64("key")), [*own, "end_hash"])
-    return hit.filter(F.col(merged).endswith(F.col("key")) & (F.length("key") == F.col("k"))).drop("k", "end_hash")
+    key, size = F.col("key"), F.length("key")
+    of_key = bits(F.substring(key, F.lit(1), size % BLOCK), hashes(F.substring(key, size % BLOCK + 1, size)))
+    return cut.join(keys.select("*", size.alias("k"), *of_key), [*own, "k", "h1", "h2"]).drop("k", "h1", "h2")
 
 
 def pair_hits(lines: DataFrame, keys: DataFrame, part: list[str], slack: int = WINDOW_SLACK) -> DataFrame:
     """Two lines in a row that together end with a key: start_line and hit_line (the last of the two)."""
     w = Window.partitionBy(*part).orderBy("line_no")
     rows = lines.select(*part, F.col("line_no").alias("start_line"), F.concat("compact", F.lead("compact").over(w)).alias("merged"), F.lead("line_no").over(w).alias("hit_line")).filter("merged is not null and merged <> ''")
-    return _ends(rows, "merged", keys, part, slack).drop("merged").distinct()
+    return _ends(rows, "merged", keys, part, slack).distinct()
 
 
 def fold_hits(hits: DataFrame, part: list[str], entry: str, start: int = 0) -> DataFrame:

@@ -271,8 +271,8 @@ _ANCHORS = f"""{_LINES}, k AS (SELECT compact AS key, compact AS item_id FROM c
 
 def _keys(spark, d):
     """Lines that several documents have stand in for the titles of a contents table."""
-    rows = _lines(spark, d).filter(F.length("compact") >= 2).select("doc_id", "compact").distinct()
-    return rows.groupBy(F.col("compact").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("key").alias("item_id"))
+    rows = chunks.once(_lines(spark, d), "compact", "key", ["doc_id"]).filter(F.length("key") >= 2).groupBy("key")
+    return rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key", F.col("key").alias("item_id"))
 
 
 @query(f"WITH {_ANCHORS} SELECT doc_id, item_id, min(line_no) AS line_no FROM c JOIN k ON compact = key GROUP BY doc_id, item_id")

@@ -43,3 +43,26 @@ def test_width_tries_the_wide_class_behind_a_range(spark):
     for s, w in df.collect():
         assert w == (None if s is None else sum(4 if c == "\t" else 2 if wide(c) else 1 for c in s))
     assert "[^" not in _plan(df)  # a negated class takes every plain character for a match of its own
+
+
+def test_ends_are_numbers_not_texts(spark):
+    rng = random.Random(3)
+    made = [[(d, i, "".join(rng.choice("ab") for _ in range(rng.choice((0, 1, 2, 5, 14, 17, 30, 33))))) for i in range(12)] for d in range(12)]
+    flat = [x for d in made for x in d]
+    ln = spark.createDataFrame(flat, "doc_id int, line_no int, compact string")
+    pool = sorted({c for _, _, c in flat if len(c) >= 2} | {(a[2] + b[2])[k:] for d in made for a, b in zip(d, d[1:]) for k in (0, 3, 12, 13)} - {""})
+    keys = spark.createDataFrame([(k, k) for k in pool], "key string, item_id string")
+    out = chunks.pair_hits(ln, keys, ["doc_id"])
+    want = {(d, i, k) for rows in made for (d, i, a), (_, _, b) in zip(rows, rows[1:]) for k in pool if (a + b).endswith(k) and len(a + b) <= len(k) + 12}
+    assert {(r.doc_id, r.start_line, r.item_id) for r in out.collect()} == want and want
+    plan = _plan(out)
+    joined = plan[plan.index("Join Inner") :].split("\n")[1]
+    assert "merged" not in joined and "collect_set" not in plan
+
+
+def test_compact_is_computed_once_for_single_hits(spark):
+    ln = _docs(spark, [(1, "a b\nc"), (2, "ab\n\n c ")])
+    keys = spark.createDataFrame([("ab", 1), ("zz", 2)], "key string, item_id int")
+    out = chunks.single_hits(ln, keys.filter(F.length("key") >= 2), ["doc_id"])
+    assert sorted((r.doc_id, r.line_no, r.item_id) for r in out.collect()) == [(1, 0, 1), (2, 0, 1)]
+    assert _plan(out).count("regexp_replace") == 1
