@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.operators.lookup import longest_first
+from lectern.operators.lookup import any_word
 
 SEGMENTERS: dict[str, Callable[..., Column]] = {}
 
@@ -24,8 +23,7 @@ def register(name: str):
 @register("lexicon")
 def lexicon(text: Column, words: list[str]) -> Column:
     """Longest word of the lexicon at each place, else a run of letters or digits, else one character."""
-    known = "|".join(re.escape(w) for w in longest_first(words))
-    return F.regexp_extract_all(text, F.lit(f"({known + '|' if known else ''}[A-Za-z]+|\\p{{Nd}}+|\\X)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({any_word(words)}|[A-Za-z]+|\\p{{Nd}}+|\\X)"), F.lit(1))
 
 
 @register("spaces")

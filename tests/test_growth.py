@@ -66,3 +66,25 @@ def test_compact_is_computed_once_for_single_hits(spark):
     out = chunks.single_hits(ln, keys.filter(F.length("key") >= 2), ["doc_id"])
     assert sorted((r.doc_id, r.line_no, r.item_id) for r in out.collect()) == [(1, 0, 1), (2, 0, 1)]
     assert _plan(out).count("regexp_replace") == 1
+
+
+def test_words_share_their_beginnings():
+    rng = random.Random(1)
+    letters = "ab-]^&[́e\n"
+    for t in range(300):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))]
+        words = ["a" * k for k in range(1, 300, 7)] if t % 20 == 0 else words
+        old, new = "|".join(re.escape(w) for w in lookup.longest_first(words)), lookup.any_word(words)
+        s = "".join(rng.choice(letters) for _ in range(60)) + "a" * 120
+        assert re.findall(f"(?s)({old}|.)", s) == re.findall(f"(?s)({new}|.)", s)
+    many = lookup.any_word([f"supplier#{k:09d}" for k in range(20000)])
+    assert len(many) < 60_000 and re.fullmatch(many, "supplier#000012345") and not re.fullmatch(many, "supplier#000020000")
+    assert lookup.any_word([]) == "(?!)"
+
+
+def test_many_words_are_not_an_array_of_the_plan(spark):
+    df = spark.createDataFrame([("the supplier#000000007 q",)], "text string")
+    words = [f"supplier#{k:09d}" for k in range(300)]
+    out = df.select(lookup.mark_words(F.col("text"), words, ["q"], "□", is_marked="^[A-Za-z]$").alias("m"))
+    assert out.first().m == "the □ □"
+    assert _plan(out).count("supplier") < 5
