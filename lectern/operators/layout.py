@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import NUMERALS, SKIPPED_PREFIXES, UNIT_NUMERALS, unit_type
-from lectern.functions.text import SPACE, clean_title, compact, display_width, leading_width, strip, strip_zero_width
+from lectern.functions.text import SPACE, clean_title, compact, display_width, leading_width, let, strip, strip_zero_width
 
 _S = f"[{SPACE}]"
 
@@ -22,33 +22,45 @@ def narrow_left(line: Column, han: int, gap: int = 5) -> Column:
 
 def longest_gap_start(line: Column, gap: int) -> Column:
     """Place (from 1) of the first of the longest inner runs of white space of at least ``gap``; 0 if none."""
-    runs = F.filter(F.regexp_extract_all(F.regexp_replace(line, f"^{_S}+", ""), F.lit(f"({_S}{{{gap},}})"), F.lit(1)), lambda r: F.length(r) > 0)
-    longest = F.aggregate(runs, F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
-    lead = F.length(F.regexp_extract(line, f"^{_S}*", 0))
-    body = F.regexp_replace(line, f"^{_S}+", "")
-    return F.when(longest == "", 0).otherwise(lead + F.position(longest, body))
+
+    def place(body: Column) -> Column:
+        runs = F.filter(F.regexp_extract_all(body, F.lit(f"({_S}{{{gap},}})"), F.lit(1)), lambda r: F.length(r) > 0)
+        longest = F.aggregate(runs, F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
+        return let(longest, lambda g: F.when(g == "", 0).otherwise(F.length(line) - F.length(body) + F.position(g, body)))
+
+    return let(F.regexp_replace(line, f"^{_S}+", ""), place)
 
 
 def split_columns(line: Column, han: int | None = 36, dots: int = 3, gap: int = 5) -> Column:
     """(left, right) of a line: blank, right only, narrow left only, cut after dots and page, cut at the
-    longest gap, all left; the first that holds."""
-    raw = F.regexp_replace(line, f"{_S}+$", "")
+    longest gap, all left; the first that holds. What several of these use is computed once a line."""
+    return let(F.regexp_replace(line, f"{_S}+$", ""), lambda raw: _columns_of(raw, han, dots, gap))
+
+
+def _columns_of(raw: Column, han: int | None, dots: int, gap: int) -> Column:
 
     def pair(a: Column, b: Column) -> Column:
         return F.struct(a.alias("left"), b.alias("right"))
 
     none = F.lit("")
     page = rf"(?:\.{_S}*){{{dots},}}{_S}*\p{{Nd}}+"
-    pages = F.regexp_count(raw, F.lit(page))
-    head = F.regexp_extract(raw, f"^([\\s\\S]*?{page})", 1)
-    tail = F.substring(raw, F.length(head) + 1, F.length(raw))
-    at = longest_gap_start(raw, gap)
-    wide = F.regexp_extract(F.substring(raw, at, F.length(raw)), f"^{_S}+", 0)
+
+    def at_gap(at: Column) -> Column:
+        right = strip(F.substring(raw, at, F.length(raw)))  # the gap itself is blank
+        return F.when(at > 0, pair(F.regexp_replace(F.substring(raw, F.lit(1), at - 1), f"{_S}+$", ""), right)).otherwise(pair(raw, none))
+
+    def after_page(pages: Column) -> Column:
+        def cut(head: Column) -> Column:
+            tail = strip(F.substring(raw, F.length(head) + 1, F.length(raw)))
+            return let(tail, lambda t: F.when((pages >= 2) | (t != ""), pair(strip(head), t)))
+
+        return F.when(pages > 0, let(F.regexp_extract(raw, f"^([\\s\\S]*?{page})", 1), cut))
+
+    pages = F.when(raw.contains("."), F.regexp_count(raw, F.lit(page))).otherwise(0)
     out = F.when(strip(raw) == "", pair(none, none))
     if han:
         out = out.when(right_only(raw, han), pair(none, strip(raw))).when(narrow_left(raw, han, gap), pair(raw, none))
-    out = out.when((pages >= 2) | ((pages == 1) & (strip(tail) != "")), pair(strip(head), strip(tail)))
-    return out.when(at > 0, pair(F.regexp_replace(F.substring(raw, F.lit(1), at - 1), f"{_S}+$", ""), strip(F.substring(raw, at + F.length(wide), F.length(raw))))).otherwise(pair(raw, none))
+    return out.otherwise(let(let(pages, after_page), lambda p: F.when(p.isNotNull(), p).otherwise(let(longest_gap_start(raw, gap), at_gap))))
 
 
 def split_wide_gap(line: Column, gap: int = 10) -> Column:
@@ -72,7 +84,10 @@ def _entry(kind: str, **fields: Column) -> Column:
 def parse_cell(cell: Column) -> Column:
     """A contents cell as a tagged record (null: nothing). The order of the rules is part of the meaning."""
     raw = strip_zero_width(F.regexp_replace(cell, r"[\r\n]+$", ""))
-    s, c = strip(raw), compact(raw)
+    return let(raw, lambda r: let(strip(r), lambda s: let(compact(r), lambda c: _parsed(r, s, c))))
+
+
+def _parsed(raw: Column, s: Column, c: Column) -> Column:
 
     def part(pattern: str, k: int, of: Column = s) -> Column:
         return F.regexp_extract(of, pattern, k)
@@ -111,13 +126,14 @@ def parse_cell(cell: Column) -> Column:
     out = out.when(bare, lesson_of(lesson_bare, False))
     out = out.when(raw.rlike(sub), _entry("sublesson", title=clean_title(part(sub, 1, raw)), page=part(sub, 2, raw)))
     out = out.when(raw.rlike(sub_gap), F.when(clean_title(part(sub_gap, 1, raw)) != "", _entry("sublesson", title=clean_title(part(sub_gap, 1, raw)), page=part(sub_gap, 2, raw))))
+
+    def bad(t: Column, tc: Column, wide: bool) -> Column:
+        no = (t == "") | t.startswith("语文园地") | t.contains("单元·") | t.contains("快乐读书吧") | tc.rlike(f"^{_U}$") | tc.rlike(r"^[◎○]?(?:口语交际|习作例文|习作|综合性学习|专题学习活动)")
+        return no | tc.rlike(f"^{_U}·(阅读|识字|汉语拼音)$") | (tc == "我上学了") if wide else no
+
     for p, wide in ((orphan, False), (orphan_gap, True)):
-        t = clean_title(part(p, 1))
-        tc = compact(t)
-        bad = (t == "") | t.startswith("语文园地") | t.contains("单元·") | t.contains("快乐读书吧") | tc.rlike(f"^{_U}$") | tc.rlike(r"^[◎○]?(?:口语交际|习作例文|习作|综合性学习|专题学习活动)")
-        if wide:
-            bad = bad | tc.rlike(f"^{_U}·(阅读|识字|汉语拼音)$") | (tc == "我上学了")
-        out = out.when(s.rlike(p) & ~strip(part(p, 1)).rlike(r"^\p{Nd}"), F.when(~bad, _entry("sublesson", title=t, page=part(p, 2))))
+        title = clean_title(part(p, 1))
+        out = out.when(s.rlike(p) & ~strip(part(p, 1)).rlike(r"^\p{Nd}"), let(title, lambda t: let(compact(t), lambda tc: F.when(~bad(t, tc, wide), _entry("sublesson", title=t, page=part(p, 2))))))
     return out
 
 
@@ -126,13 +142,15 @@ _LESSONS = rf"(?<!\p{{Nd}})(?:\p{{Nd}}{{1,2}}[*＊]?{_S}+.+?\.{{2,}}{_S}*\p{{Nd}
 
 def lesson_pieces(cell: Column) -> Column:
     """The lessons of a cell (lesson) and what is between them, in order; a cell without lessons as it is."""
-    s = strip(cell)
+    return let(strip(cell), lambda s: F.when(s.rlike(_LESSONS), _between_lessons(s)).otherwise(F.array(F.struct(F.lit(True).alias("lesson"), cell.alias("cell")))))
+
+
+def _between_lessons(s: Column) -> Column:
     pieces = F.split(F.regexp_replace(s, f"({_LESSONS})", "\u0001L$1\u0001"), "\u0001", -1)
     each = F.transform(pieces, lambda p: F.struct(p.startswith("L").alias("lesson"), F.when(p.startswith("L"), F.substring(p, F.lit(2), F.length(p))).otherwise(strip(p)).alias("cell")))
     c = lambda p: compact(p["cell"])
     skipped = lambda p: (c(p) == "") | (~p["lesson"] & ((c(p) == "阅读") | c(p).rlike("^(?:" + "|".join(SKIPPED_PREFIXES) + ")")))
-    none = F.array(F.struct(F.lit(True).alias("lesson"), cell.alias("cell")))
-    return F.when(s.rlike(_LESSONS), F.filter(each, lambda p: ~skipped(p))).otherwise(none)
+    return F.filter(each, lambda p: ~skipped(p))
 
 
 def wide_gap_pair(line: Column, gap: int = 10) -> Column:

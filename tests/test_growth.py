@@ -88,3 +88,13 @@ def test_many_words_are_not_an_array_of_the_plan(spark):
     out = df.select(lookup.mark_words(F.col("text"), words, ["q"], "□", is_marked="^[A-Za-z]$").alias("m"))
     assert out.first().m == "the □ □"
     assert _plan(out).count("supplier") < 5
+
+
+def test_columns_and_cells_are_parsed_once(spark):
+    odd = ["", "   ", "a      b        c  ", "   a     b", "x ... 3     y", "x ... 3  y ... 4", "x ... 3", "     ", "p", None]
+    df = spark.createDataFrame([(s,) for s in odd], "s string")
+    out = df.select("s", layout.split_columns(F.col("s"), None).alias("c"))
+    got = {r.s: tuple(r.c) for r in out.collect()}
+    assert got == {"": ("", ""), "   ": ("", ""), "a      b        c  ": ("a      b", "c"), "   a     b": ("   a", "b"), "x ... 3     y": ("x ... 3", "y"), "x ... 3  y ... 4": ("x ... 3", "y ... 4"), "x ... 3": ("x ... 3", ""), "     ": ("", ""), "p": ("p", ""), None: (None, "")}
+    assert _plan(out).count("regexp") < 15
+    assert _plan(df.select(layout.parse_cell(F.col("s")).alias("e"))).count("translate(") == 1
